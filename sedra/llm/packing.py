@@ -91,17 +91,29 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = SEQUENCE) -> tuple
     return bins, offsets
 
 
+def _narrow(vocabulary: int) -> str:
+    """The type in which ids travel: two bytes hold vocabularies of up to 65,536."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+@cache
+def _vocabulary(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
 def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str = "byte_bpe_50k.json", sequence: int = SEQUENCE) -> DataFrame:
-    """PIECES of each document: its ids and the end id, cut every `sequence` ids; ids as little-endian 32-bit."""
+    """PIECES of each document: its ids and the end id, cut every `sequence` ids; ids little-endian, as _narrow() has them."""
     path, ranks = tokenizer_path(tokenizer), tokenizer_path(tokenizer.replace(".json", ".tiktoken"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path, ranks)
+        encode, kind = _encoder(path, ranks), _narrow(_vocabulary(path))
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             rows, held = [], 0
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array(encode(body.as_py() or "") + [END], dtype="<u4")
+                ids = np.array(encode(body.as_py() or "") + [END], dtype=kind)
                 for at in range(0, len(ids), sequence):
                     piece = ids[at : at + sequence]
                     rows.append((doc, at, len(piece), len(ids), piece.tobytes()))
@@ -118,6 +130,7 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", to
 def packed_sequences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str = "byte_bpe_50k.json", sequence: int = SEQUENCE, group_docs: int = 1024, seed: int = 11) -> DataFrame:
     """Pieces of all documents with their place: PIECES, sequence_id, offset.
 
+    ids are little-endian 32-bit; they are shuffled in two bytes each where the vocabulary allows.
     Null and empty texts are the end id alone; null ids stay null. Repeated rows
     are separate documents. Groups are dealt by a seeded hash of id and row, about
     group_docs documents each, so that equal ids don't meet in one group. A piece
@@ -125,7 +138,7 @@ def packed_sequences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     group's rests take at most 4 * sequence bytes a document. Sequences are padded
     by whoever stores them: their length is the sum of their pieces.
     """
-    groups = groups_for(docs.count(), group_docs)
+    groups, kind = groups_for(docs.count(), group_docs), _narrow(_vocabulary(tokenizer_path(tokenizer)))
     pieces = token_pieces(docs, text, doc_id, tokenizer, sequence)
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", F.crc32("ids"), F.monotonically_increasing_id()), F.lit(groups)))
 
@@ -133,6 +146,7 @@ def packed_sequences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         frame = frame.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
         bins, offsets = first_fit_decreasing(frame["length"].to_numpy(), sequence)
         _, bins = np.unique(bins, return_inverse=True)
+        frame["ids"] = [np.frombuffer(x, dtype=kind).astype("<u4").tobytes() for x in frame["ids"]]
         return frame.drop(columns="part").assign(sequence_id=(int(key[0]) << 24) + bins, offset=offsets)
 
     return pieces.groupBy("part").applyInPandas(pack, f"{PIECES}, sequence_id long, offset long")
