@@ -5,8 +5,9 @@ full window, are looked up over the corpus, and only what is repeated at one
 length is extended to the next. Below the full length each full window is stood
 for by one of its shorter windows, that of least hash, which repeats wherever the
 full window does; so no repeat is lost, and about one window in six is looked up.
-At the full length, the least (document, start) of each window owns it, and every
-other occurrence goes.
+At the full length, the least document that has a window owns it; in other
+documents it goes, and in one document all but its first occurrence go. A text that
+a lesser document has word for word is not looked up: all of it goes.
 """
 
 from __future__ import annotations
@@ -116,34 +117,39 @@ def _looked_up(texts: DataFrame, first: int, length: int, window: int, levels: i
 
 
 def _full(texts: DataFrame, first: int, window: int, levels: int) -> DataFrame:
-    """(doc, start, h1, h2): full windows alive, the first of each in its row."""
-    schema = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("h1", pa.int64()), ("h2", pa.int32())])
+    """(doc, h1, h2): full windows alive, each once per row."""
+    schema = pa.schema([("doc", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32())])
 
     def rows(row: list):
         hashes = word_hashes(split_words(row[1]))
         at = alive_windows(hashes, first, window, row[2 : 2 + levels])
         if not len(at):
             return None
-        h1 = window_hashes(hashes, first, window)[at].view(np.int64)
-        h2 = (window_hashes(hashes, first, window, 1)[at] >> np.uint64(33)).astype(np.int32)
-        _, one = np.unique(h1, return_index=True)
-        return [np.full(len(one), row[0], dtype=np.int64), at[one].astype(np.int32), h1[one], h2[one]]
+        h1, one = np.unique(window_hashes(hashes, first, window)[at].view(np.int64), return_index=True)
+        h2 = (window_hashes(hashes, first, window, 1)[at[one]] >> np.uint64(33)).astype(np.int32)
+        return [np.full(len(one), row[0], dtype=np.int64), h1, h2]
 
-    return texts.mapInArrow(lambda b: _flat(b, rows, schema), "doc long, start int, h1 long, h2 int")
+    return texts.mapInArrow(lambda b: _flat(b, rows, schema), "doc long, h1 long, h2 int")
+
+
+def copied_texts(texts: DataFrame) -> DataFrame:
+    """(doc, copied): digests of the texts of a document that a lesser document has too."""
+    marks = written(texts.select("doc", F.md5(F.coalesce("body", F.lit("")).cast("binary")).alias("digest")), "digests")
+    least = marks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least")).where("n > 1")
+    return written(marks.join(least, "digest").where("doc > least").groupBy("doc").agg(F.collect_set("digest").alias("copied")), "copied")
 
 
 def removed_words(hashes: np.ndarray, first: int, window: int, survivors: list[np.ndarray], owned: np.ndarray) -> np.ndarray:
-    """Mask of the words of one text that go; owned: start << 31 | h2 of the windows that its document owns."""
+    """Mask of the words of one text that go; owned: hashes of the windows that its document owns."""
     n = len(hashes) - window + 1
     gone = np.zeros(len(hashes) + 1, dtype=np.int64)
     if n < 1:
         return gone[:-1] > 0
-    h1 = window_hashes(hashes, first, window)
-    h2 = (window_hashes(hashes, first, window, 1) >> np.uint64(33)).astype(np.int32)
+    h1 = window_hashes(hashes, first, window).view(np.int64)
     again = np.ones(n, dtype=bool)
     again[np.unique(h1, return_index=True)[1]] = False
     at = alive_windows(hashes, first, window, survivors)
-    again[at[~np.isin(at << 31 | h2[at], owned)]] = True
+    again[at[~np.isin(h1[at], owned)]] = True
     starts = np.flatnonzero(again)
     np.add.at(gone, starts, 1)
     np.add.at(gone, starts + window, -1)
@@ -154,9 +160,8 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """One row per input row: doc_id, n_words, n_removed, kept (the kept words joined by a space).
 
     window must be first * 2^k. Null texts have no words. Null ids rank last and
-    count as one document. Rows with one id rank by start alone, so exact repeats
-    of a row with its id don't remove each other. Windows are compared by 95 bits
-    of hash. Grams and windows are counted partially before every shuffle; what
+    count as one document. Rows with one id don't remove each other's words.
+    Windows are compared by 95 bits of hash, texts by MD5. Grams and windows are counted partially before every shuffle; what
     comes back to a document is bounded by its own length.
     """
     levels = (window // first).bit_length() - 1
@@ -173,25 +178,24 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         repeated = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
         known.append(written(grams.join(repeated, "gram").groupBy("doc").agg(F.collect_set("gram").alias("grams")), "grams"))
 
-    told = texts
+    told = texts.join(copied_texts(texts), "doc", "left")
     for i, table in enumerate(known):
         told = told.join(table.withColumnRenamed("grams", f"g{i}"), "doc", "left")
     gs = [f"g{i}" for i in range(levels)]
-    full = _full(told.where(F.col(gs[-1]).isNotNull()).select("doc", "body", *gs), first, window, levels)
-    rank = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("start").cast("decimal(10,0)")
-    owner = full.withColumn("rank", rank.cast("decimal(32,0)")).groupBy("h1", "h2").agg(F.min("rank").alias("rank"))
-    owner = owner.withColumn("start", F.expr("cast(pmod(rank, 2147483648BD) as long)"))
-    owner = owner.select(F.expr("(rank - start) div 2147483648BD").alias("doc"), F.shiftleft("start", 31).bitwiseOR(F.col("h2").cast("long")).alias("w"))
-    owned = owner.groupBy("doc").agg(F.collect_list("w").alias("owned"))
+    copy = F.coalesce(F.array_contains("copied", F.md5(F.coalesce("body", F.lit("")).cast("binary"))), F.lit(False))
+    told = told.withColumn("copy", copy)
+    full = _full(told.where(F.col(gs[-1]).isNotNull() & ~F.col("copy")).select("doc", "body", *gs), first, window, levels)
+    owner = full.groupBy("h1", "h2").agg(F.min("doc").alias("doc"))
+    owned = owner.groupBy("doc").agg(F.collect_list("h1").alias("owned"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_words", "n_removed", "kept"]
         for batch in batches:
             rows, size = [], 0
             for i in range(batch.num_rows):
-                ident, body, have, *grams = (_cell(c, i) for c in batch.columns)
+                ident, body, copy, have, *grams = (_cell(c, i) for c in batch.columns)
                 words = split_words(body)
-                gone = removed_words(word_hashes(words), first, window, grams, have)
+                gone = np.full(len(words), len(words) >= window) if copy else removed_words(word_hashes(words), first, window, grams, have)
                 kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
                 rows.append((ident, len(words), int(gone.sum()), kept.decode("utf-8", "replace")))
                 size += len(kept)
@@ -202,5 +206,5 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    out = told.join(owned, "doc", "left").select(F.col("doc_id").cast("long"), "body", "owned", *gs)
+    out = told.join(owned, "doc", "left").select(F.col("doc_id").cast("long"), "body", "copy", "owned", *gs)
     return out.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
