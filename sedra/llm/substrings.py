@@ -73,7 +73,9 @@ def stand_ins(hashes: np.ndarray, first: int, length: int, window: int) -> np.nd
 
 def alive_windows(hashes: np.ndarray, first: int, window: int, survivors: list[np.ndarray]) -> np.ndarray:
     """Starts of the full windows whose stand-ins were repeated at every level looked up so far."""
-    alive = np.ones(max(0, len(hashes) - window + 1), dtype=bool)
+    if len(hashes) < window or any(not len(kept) for kept in survivors):
+        return np.zeros(0, dtype=np.int64)
+    alive = np.ones(len(hashes) - window + 1, dtype=bool)
     for level, kept in enumerate(survivors):
         alive &= np.isin(stand_ins(hashes, first, first << level, window), kept)
     return np.flatnonzero(alive)
@@ -146,11 +148,16 @@ def removed_words(hashes: np.ndarray, first: int, window: int, survivors: list[n
     if n < 1:
         return gone[:-1] > 0
     h1 = window_hashes(hashes, first, window).view(np.int64)
-    again = np.ones(n, dtype=bool)
-    again[np.unique(h1, return_index=True)[1]] = False
+    again = np.zeros(n, dtype=bool)
+    ordered = np.sort(h1)
+    if (ordered[1:] == ordered[:-1]).any():
+        again[:] = True
+        again[np.unique(h1, return_index=True)[1]] = False
     at = alive_windows(hashes, first, window, survivors)
     again[at[~np.isin(h1[at], owned)]] = True
     starts = np.flatnonzero(again)
+    if not len(starts):
+        return gone[:-1] > 0
     np.add.at(gone, starts, 1)
     np.add.at(gone, starts + window, -1)
     return np.cumsum(gone)[:-1] > 0
@@ -196,7 +203,7 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 ident, body, copy, have, *grams = (_cell(c, i) for c in batch.columns)
                 words = split_words(body)
                 gone = np.full(len(words), len(words) >= window) if copy else removed_words(word_hashes(words), first, window, grams, have)
-                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
                 rows.append((ident, len(words), int(gone.sum()), kept.decode("utf-8", "replace")))
                 size += len(kept)
                 if size > 1 << 24:
