@@ -83,7 +83,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
 
 _HEADER = re.compile(rb"((?:[A-Za-z-]+: [^\r\n]*\r\n)+)\r\n")
-SEGMENTS = "file string, split long, at long, size long, next long, type string, id string, refers string, claimed string, payload_bytes long, digest string"
+SEGMENTS = "file long, split long, at long, size long, next long, type string, id string, refers string, claimed string, payload_bytes long, digest string"
 
 
 def _block(header: bytes, block: bytes) -> tuple[int, str]:
@@ -99,12 +99,12 @@ def _field(header: bytes, name: bytes) -> str | None:
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    """Segments as text rows, in order within each split."""
+    """Segments as text rows, in order within each split; files go by a 64-bit hash of their path."""
     lines = spark.read.option("lineSep", MAGIC).text(path)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
+    return lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, bytes]]:
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
     """(file, split, offset within the rows of the split, segment)."""
     now, at = None, 0
     for batch in batches:
@@ -118,7 +118,7 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, in
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per segment; `next`: bytes from its start to the start of its successor, where it opens with a header."""
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
     names = [x.split()[0] for x in SEGMENTS.split(", ")]
     rows = []
     for file, split, at, data in _positions(batches):
@@ -164,7 +164,7 @@ def reachable(candidates: DataFrame, block: int = 1 << 26) -> DataFrame:
 
     entered = candidates.where("at = 0").select("file", "at")
     if blocks:
-        jumps = written(candidates.groupBy("file", "block").applyInPandas(leave, "file string, at long, out long").where("out >= 0"), "jumps")
+        jumps = written(candidates.groupBy("file", "block").applyInPandas(leave, "file long, at long, out long").where("out >= 0"), "jumps")
         reach = 1
         while True:
             step = entered.join(jumps, ["file", "at"]).select("file", F.col("out").alias("at"))
@@ -191,7 +191,7 @@ def reachable(candidates: DataFrame, block: int = 1 << 26) -> DataFrame:
             on, jump = new, jump[jump]
         return pd.DataFrame({"file": key[0], "at": at[on[:-1]]})
 
-    return marked.groupBy("file", "block").applyInPandas(passed, "file string, at long")
+    return marked.groupBy("file", "block").applyInPandas(passed, "file long, at long")
 
 
 def read_archives(spark: SparkSession, path: str, block: int = 1 << 26) -> DataFrame:
@@ -226,10 +226,10 @@ def _reassembled(spark: SparkSession, path: str, placed: DataFrame, bases: DataF
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, split, at, data in _positions(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([split]), pa.array([at], pa.int64()), pa.array([data], pa.binary())], names=["file", "split", "near", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([split], pa.int64()), pa.array([at], pa.int64()), pa.array([data], pa.binary())], names=["file", "split", "near", "data"])
 
     wanted = parts.select("file", "split").distinct()
-    rows = _read(spark, path).mapInArrow(bodies, "file string, split long, near long, data binary").join(wanted, ["file", "split"], "left_semi")
+    rows = _read(spark, path).mapInArrow(bodies, "file long, split long, near long, data binary").join(wanted, ["file", "split"], "left_semi")
     rows = rows.join(bases, ["file", "split"]).withColumn("at", F.col("base") + F.col("near") - len(MAGIC)).join(parts.select("file", "at", "owner"), ["file", "at"])
 
     def join(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -239,7 +239,7 @@ def _reassembled(spark: SparkSession, path: str, placed: DataFrame, bases: DataF
         size, digest = _block(m[1], data[m.end() : m.end() + length])
         return pd.DataFrame({"file": [key[0]], "at": [key[1]], "payload_bytes": [size], "digest": [digest]})
 
-    joined = rows.groupBy("file", "owner").applyInPandas(join, "file string, at long, payload_bytes long, digest string")
+    joined = rows.groupBy("file", "owner").applyInPandas(join, "file long, at long, payload_bytes long, digest string")
     return broken.drop("payload_bytes", "digest").join(joined, ["file", "at"])
 
 
