@@ -130,9 +130,16 @@ def _spans(texts: pd.Series) -> pd.Series:
     return pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in find_spans(t)] for t in texts], dtype=object)
 
 
+def redact_all(text: str | None) -> str | None:
+    """Redacts until nothing is found: a span that goes can set its neighbour free, e.g. a card after an address."""
+    while spans := find_spans(text):
+        text = redact(text, spans)
+    return text
+
+
 @F.pandas_udf(StringType())
 def _redacted(texts: pd.Series) -> pd.Series:
-    return pd.Series([redact(t, find_spans(t)) for t in texts], dtype=object)
+    return pd.Series([redact_all(t) for t in texts], dtype=object)
 
 
 def pii_spans(text: Column) -> Column:
