@@ -20,12 +20,6 @@ def spark():
     )
 
 
-def rows(df, *columns):
-    """Rows as tuples, sorted with None first."""
-    got = [tuple(r[c] for c in columns) for r in df.collect()]
-    return sorted(got, key=lambda r: [(x is not None, x) for x in r])
-
-
 @pytest.fixture(scope="session")
 def docs_of(spark):
     """(doc_id, text, source) rows -> documents, with columns whose names clash with the operators' own."""

@@ -2,7 +2,7 @@
 
 import random
 
-from conftest import rows
+from helpers import rows
 
 from sedra.llm import chats, search
 

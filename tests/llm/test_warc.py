@@ -3,7 +3,7 @@ import hashlib
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from sedra.llm import warc
 
