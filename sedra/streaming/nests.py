@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..plans.nest import Nest
@@ -14,7 +15,9 @@ def events_stream(spark: SparkSession, path: str, schema: StructType, watermark:
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     out = reader.parquet(path)
-    return out.withWatermark(*watermark) if watermark else out
+    if watermark:  # watermarks need a zoned type; times without one are read as session time
+        out = out.withColumn(watermark[0], F.col(watermark[0]).cast("timestamp")).withWatermark(*watermark)
+    return out
 
 
 def run_to_table(nest: Nest, stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
