@@ -137,7 +137,8 @@ def _full(texts: DataFrame, first: int, window: int, levels: int) -> DataFrame:
 def copied_texts(texts: DataFrame) -> DataFrame:
     """(doc, copied): digests of the texts of a document that a lesser document has too."""
     marks = written(texts.select("doc", F.md5(F.coalesce("body", F.lit("")).cast("binary")).alias("digest")), "digests")
-    least = marks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least")).where("n > 1")
+    # written, so that the join deals both sides anew and can split a digest of many copies
+    least = written(marks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least")).where("n > 1").select("digest", "least"), "least")
     return written(marks.join(least, "digest").where("doc > least").groupBy("doc").agg(F.collect_set("digest").alias("copied")), "copied")
 
 
@@ -182,7 +183,7 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             told = told.join(table.withColumnRenamed("grams", f"g{i}"), "doc")
         grams = _looked_up(told, first, first << level, window, level)
         # within one row each gram is listed once: a count above one is another row
-        repeated = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+        repeated = written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "repeated")
         known.append(written(grams.join(repeated, "gram").groupBy("doc").agg(F.collect_set("gram").alias("grams")), "grams"))
 
     told = texts.join(copied_texts(texts), "doc", "left")
