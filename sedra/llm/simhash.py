@@ -3,15 +3,18 @@
 Copies share a fingerprint, so the join runs over distinct fingerprints. Within
 max_bits differing bits of 64, one of max_bits + 1 blocks of bits is equal; the
 fingerprints are rotated so that each block in turn leads, and those equal in the
-leading block form one trie. In a trie, pairs of nodes are walked together from
-the root: a pair carries the bits in which its prefixes differ, and goes once
-they are above the budget. Pairs whose nodes already hang together are left out,
-so that a dense cluster costs its links to become connected, not all its pairs.
+leading block form one trie. A trie of too many rows is dealt again by blocks of
+the bits that follow, as one of those must be equal too. In a trie, pairs of nodes
+are walked together from the root: a pair carries the bits in which its prefixes
+differ, and goes once they are above the budget. Pairs whose nodes already hang
+together are left out, so that a dense cluster costs its links to become
+connected, not all its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -95,9 +98,8 @@ class _Trie:
                 root[:] = up
         self.touch()
 
-    def walk(self, start: int, groups: np.ndarray, max_bits: int) -> None:
-        """groups: bounds of the tries in the rows; all rows of one agree in their first `start` bits."""
-        lo, hi = groups[:-1], groups[1:]
+    def walk(self, start: int, lo: np.ndarray, hi: np.ndarray, max_bits: int) -> None:
+        """lo, hi: bounds of the tries in the rows; all rows of one agree in their first `start` bits."""
         many = hi - lo > 1
         stack = [(start, np.stack([lo[many], hi[many], lo[many], hi[many], np.zeros(many.sum(), dtype=np.int64)]))]
         while stack:
@@ -123,34 +125,63 @@ class _Trie:
 
 
 def _linked(frame: pd.DataFrame, max_bits: int) -> pd.DataFrame:
-    turn, keys = frame["turn"].to_numpy(), frame["key"].to_numpy().view(np.uint64)
-    lead = 64 // (max_bits + 1)
-    order = np.lexsort((keys, turn))
-    turn, keys = turn[order], keys[order]
-    head = keys >> np.uint64(64 - lead)
-    bounds = np.flatnonzero((head[1:] != head[:-1]) | (turn[1:] != turn[:-1])) + 1
+    frame = frame.assign(key=frame["key"].to_numpy().view(np.uint64)).sort_values(["lead", "trie", "key"])
+    fp, keys, names, lead = (frame[c].to_numpy() for c in ("fp", "key", "trie", "lead"))
+    head = keys >> (64 - lead).astype(np.uint64)
+    edges = np.flatnonzero((head[1:] != head[:-1]) | (names[1:] != names[:-1]) | (lead[1:] != lead[:-1])) + 1
+    lo, hi = np.append(0, edges), np.append(edges, len(keys))
     trie = _Trie(keys)
-    trie.walk(lead, np.concatenate(([0], bounds, [len(keys)])), max_bits)
+    for start in np.unique(lead).tolist():
+        here = lead[lo] == start
+        trie.walk(start, lo[here], hi[here], max_bits)
     own = np.flatnonzero(trie.root != np.arange(len(keys)))
-    shift = (turn * lead).astype(np.uint64)
-    back = (keys >> shift) | np.where(shift > 0, keys << ((np.uint64(64) - shift) & np.uint64(63)), 0).astype(np.uint64)
-    back = back.view(np.int64)
-    return pd.DataFrame({"a": back[own], "b": back[trie.root[own]]})
+    return pd.DataFrame({"a": fp[own], "b": fp[trie.root[own]]})
 
 
-def near_links(prints: DataFrame, max_bits: int = 4, group_rows: int = 8192) -> DataFrame:
+def _dealt(rows: DataFrame, lead: int, blocks: int) -> DataFrame:
+    """(fp, key, trie), tries equal in their first `lead` bits -> each row once per block of the rest, rotated so that the block follows."""
+    rest = 64 - lead
+    width, low = rest // blocks, F.lit((1 << rest) - 1 if lead else -1)
+    keys = [F.col("key")]
+    for t in range(1, blocks):
+        tail = F.col("key").bitwiseAND(low)
+        turned = F.shiftleft(tail, t * width).bitwiseOR(F.shiftrightunsigned(tail, rest - t * width)).bitwiseAND(low)
+        keys.append(F.col("key").bitwiseAND(F.bitwise_not(low)).bitwiseOR(turned))
+    names = [F.xxhash64("trie", F.lit(t), F.shiftrightunsigned(k, rest - width)) for t, k in enumerate(keys)]
+    return rows.select("fp", F.inline(F.array(*[F.struct(k.alias("key"), n.alias("trie")) for k, n in zip(keys, names)])))
+
+
+def tries(prints: DataFrame, max_bits: int = 4, trie_rows: int = 1 << 16) -> DataFrame:
+    """Distinct fingerprints `fp` -> (fp, key, trie, lead): two within max_bits meet in a trie, whose keys agree in `lead` bits.
+
+    A block of bits that a third of all fingerprints agree in is no task of its
+    own: tries of over trie_rows rows are dealt again until none is left, or until
+    so few bits remain that they bound a trie. Nothing is dropped on the way.
+    """
+    blocks, lead, ready = max_bits + 1, 0, []
+    rows = prints.select("fp", F.col("fp").alias("key"), F.lit(0).cast("long").alias("trie"))
+    while True:
+        rows = _dealt(rows, lead, blocks)
+        lead += (64 - lead) // blocks
+        named = rows.withColumn("lead", F.lit(lead))
+        if 64 - lead < blocks or 1 << (64 - lead) <= trie_rows:
+            return reduce(DataFrame.unionByName, ready, named)
+        hot = written(rows.groupBy("trie").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > trie_rows).select("trie"), "hot")
+        if hot.isEmpty():
+            return reduce(DataFrame.unionByName, ready, named)
+        ready.append(named.join(hot, "trie", "left_anti"))
+        rows = written(rows.join(hot, "trie", "left_semi"), "hot-rows")
+
+
+def near_links(prints: DataFrame, max_bits: int = 4, group_rows: int = 8192, trie_rows: int = 1 << 16) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints `fp` within max_bits of each other.
 
     Not every pair is listed, but two within max_bits are always connected by
     those of one trie. Tries are dealt to groups of about group_rows rows by hash;
-    the number of groups follows the number of fingerprints. A trie is at most the
-    distinct fingerprints that agree in one block, never copies.
+    the number of groups follows the number of rows.
     """
-    turns, lead = max_bits + 1, 64 // (max_bits + 1)
-    rotated = [F.struct(F.lit(t).alias("turn"), (F.shiftleft("fp", t * lead).bitwiseOR(F.shiftrightunsigned("fp", 64 - t * lead)) if t else F.col("fp")).alias("key")) for t in range(turns)]
-    groups = groups_for(prints.count() * turns, group_rows)
-    rows = prints.select(F.inline(F.array(*rotated)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("turn", F.shiftrightunsigned("key", 64 - lead)), F.lit(groups)))
+    rows = tries(prints, max_bits, trie_rows)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("trie"), F.lit(groups_for(rows.count(), group_rows))))
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
         return _linked(frame, max_bits)

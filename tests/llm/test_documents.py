@@ -108,8 +108,9 @@ def test_simhash_by_hand():
     assert simhash.simhash(" ") == 0
 
 
-def test_trie_join_connects_dense_clusters(spark):
-    """Random prints and dense clusters: the same classes as all pairs."""
+@pytest.mark.parametrize("trie_rows", [1 << 16, 30])
+def test_trie_join_connects_dense_clusters(spark, trie_rows):
+    """Random prints and dense clusters: the same classes as all pairs, also where tries are dealt again."""
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.int64)
     near = [int(b) ^ sum(1 << int(x) for x in rng.choice(63, rng.integers(0, 6), replace=False)) for b in base[:6] for _ in range(60)]
@@ -122,7 +123,8 @@ def test_trie_join_connects_dense_clusters(spark):
             x = parent[x]
         return x
 
-    for r in simhash.near_links(df).collect():
+    assert (simhash.tries(df, trie_rows=trie_rows).select("lead").distinct().count() > 1) == (trie_rows == 30)
+    for r in simhash.near_links(df, trie_rows=trie_rows).collect():
         assert r.a in parent and r.b in parent
         parent[root(r.a)] = root(r.b)
     got = {p: root(p) for p in prints}
