@@ -201,11 +201,8 @@ def read_archives(spark: SparkSession, path: str, block: int = 1 << 26) -> DataF
     records there.
     """
     segments = written(_read(spark, path).mapInArrow(_segments, SEGMENTS), "segments")
-    sizes = segments.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
-    before = F.sum("bytes").over(Window.partitionBy("file").orderBy("split")) - F.col("bytes")
-    bases = written(sizes.select("file", "split", before.alias("base")), "bases")  # one row per split
     # The text before the first magic of a file is no segment's; a segment at x follows the magic at x - len(MAGIC).
-    placed = segments.join(bases, ["file", "split"]).withColumn("at", F.col("base") + F.col("at") - len(MAGIC)).where("at >= 0")
+    placed = segments.join(_bases(segments), ["file", "split"]).withColumn("at", F.col("base") + F.col("at") - len(MAGIC)).where("at >= 0")
     candidates = placed.where("next is not null").select("file", "at", (F.col("at") + len(MAGIC) + F.col("next")).alias("to"))
     chain = written(reachable(candidates, block), "chain")
     found = placed.join(chain, ["file", "at"])
@@ -213,14 +210,26 @@ def read_archives(spark: SparkSession, path: str, block: int = 1 << 26) -> DataF
     whole = written(found.select("file", "at", F.col("next"), *columns), "records")
     broken = whole.where("digest is null")
     if not broken.isEmpty():
-        whole = whole.where("digest is not null").select(*columns).unionByName(_reassembled(spark, path, placed, bases, chain, broken).select(*columns))
+        whole = whole.where("digest is not null").select(*columns).unionByName(_reassembled(spark, path, placed, chain, broken).select(*columns))
     return whole.select(F.col("type").alias("record_type"), F.col("id").alias("record_id"), F.col("refers").alias("refers_to_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.substring_index("claimed", ":", -1).alias("claimed_digest"))
 
 
-def _reassembled(spark: SparkSession, path: str, placed: DataFrame, bases: DataFrame, chain: DataFrame, broken: DataFrame) -> DataFrame:
-    """Records whose payload holds magics: their segments, found by the last chain member before each, joined in order."""
+def _bases(segments: DataFrame) -> DataFrame:
+    """(file, split, base) of segments with file, split and size: where the rows of each split begin; one row per split."""
+    sizes = segments.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
+    before = F.sum("bytes").over(Window.partitionBy("file").orderBy("split")) - F.col("bytes")
+    return written(sizes.select("file", "split", before.alias("base")), "bases")
+
+
+def _reassembled(spark: SparkSession, path: str, placed: DataFrame, chain: DataFrame, broken: DataFrame) -> DataFrame:
+    """Records whose payload holds magics: their segments, found by the last chain member before each, joined in order.
+
+    Spark cuts files by the cores it has at the moment, so the second reading may
+    have other splits than the first. Its segments are written with their splits,
+    and placed by what that one reading saw.
+    """
     by_place = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    owners = placed.select("file", "split", "base", "at", "size").join(chain.withColumn("owner", F.col("at")), ["file", "at"], "left")
+    owners = placed.select("file", "at").join(chain.withColumn("owner", F.col("at")), ["file", "at"], "left")
     owners = owners.withColumn("owner", F.last("owner", True).over(by_place))
     parts = written(owners.join(broken.select("file", F.col("at").alias("owner")), ["file", "owner"], "left_semi"), "parts")
 
@@ -228,9 +237,10 @@ def _reassembled(spark: SparkSession, path: str, placed: DataFrame, bases: DataF
         for file, split, at, data in _positions(batches):
             yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([split], pa.int64()), pa.array([at], pa.int64()), pa.array([data], pa.binary())], names=["file", "split", "near", "data"])
 
-    wanted = parts.select("file", "split").distinct()
-    rows = _read(spark, path).mapInArrow(bodies, "file long, split long, near long, data binary").join(wanted, ["file", "split"], "left_semi")
-    rows = rows.join(bases, ["file", "split"]).withColumn("at", F.col("base") + F.col("near") - len(MAGIC)).join(parts.select("file", "at", "owner"), ["file", "at"])
+    files = written(broken.select("file").distinct(), "files")
+    rows = _read(spark, path).mapInArrow(bodies, "file long, split long, near long, data binary").join(files, "file", "left_semi")
+    rows = written(rows.withColumn("size", F.octet_length("data")), "bodies")
+    rows = rows.join(_bases(rows), ["file", "split"]).withColumn("at", F.col("base") + F.col("near") - len(MAGIC)).join(parts.select("file", "at", "owner"), ["file", "at"])
 
     def join(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         data = MAGIC.encode().join(frame.sort_values("at")["data"])

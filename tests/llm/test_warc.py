@@ -51,6 +51,28 @@ def test_splits_and_blocks(spark, tmp_path):
     assert got == want
 
 
+def test_splits_that_change_between_readings(spark, tmp_path, monkeypatch):
+    """The second reading, for payloads that hold magics, has other splits than the first."""
+    rng = random.Random(6)
+    pages = [(i, f"u{i}", "".join(rng.choice(["abc ", "WARC/1.1\r\n", EMBEDDED]) for _ in range(rng.randint(0, 40)))) for i in range(80)]
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path, 0)
+    setting, sizes, read = "spark.sql.files.maxPartitionBytes", iter(["5000", "3100"]), warc._read
+    old = spark.conf.get(setting)
+
+    def other(*a):
+        spark.conf.set(setting, next(sizes))
+        return read(*a)
+
+    monkeypatch.setattr(warc, "_read", other)
+    try:
+        got = rows(warc.read_archives(spark, path).where("record_type = 'response'"), "record_id", "payload_bytes", "payload_digest")
+    finally:
+        spark.conf.set(setting, old)
+    assert next(sizes, None) is None
+    assert got == sorted((f"<urn:page:{r[0]}>", r[1], r[2]) for r in expected(pages) if r[3] == "response")
+
+
 def test_smaller_payloads_stay_responses(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     assert rows(warc.archived(df, least_bytes=5), "page_id", "record_type", "refers_to") == [(1, "response", None), (2, "response", None), (3, "revisit", 4), (4, "response", None)]
