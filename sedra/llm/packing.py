@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import groups_for
+from .shared import groups_for, written
 
 SEQUENCE, END = 2048, 1
 #: A text with this string is encoded by the tokenizer file itself, for which it is one special token.
@@ -130,23 +130,34 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", to
 def packed_sequences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str = "byte_bpe_50k.json", sequence: int = SEQUENCE, group_docs: int = 1024, seed: int = 11) -> DataFrame:
     """Pieces of all documents with their place: PIECES, sequence_id, offset.
 
-    ids are little-endian 32-bit; they are shuffled in two bytes each where the vocabulary allows.
+    ids are little-endian 32-bit; they are written and shuffled in two bytes each where the vocabulary allows.
     Null and empty texts are the end id alone; null ids stay null. Repeated rows
-    are separate documents. Groups are dealt by a seeded hash of id and row, about
-    group_docs documents each, so that equal ids don't meet in one group. A piece
-    of a whole sequence is a bin by itself; it keeps its group's numbering. A
-    group's rests take at most 4 * sequence bytes a document. Sequences are padded
-    by whoever stores them: their length is the sum of their pieces.
+    are separate documents. A piece of a whole sequence is a sequence by itself,
+    with an odd number, and isn't shuffled. Each document's rest is dealt to a
+    group by a seeded hash of id and row, so that equal ids don't meet in one
+    group; a group is about group_docs rests of less than `sequence` ids each,
+    however long its documents are. Sequences are padded by whoever stores them:
+    their length is the sum of their pieces.
     """
-    groups, kind = groups_for(docs.count(), group_docs), _narrow(_vocabulary(tokenizer_path(tokenizer)))
-    pieces = token_pieces(docs, text, doc_id, tokenizer, sequence)
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", F.crc32("ids"), F.monotonically_increasing_id()), F.lit(groups)))
+    kind = _narrow(_vocabulary(tokenizer_path(tokenizer)))
+    pieces = written(token_pieces(docs, text, doc_id, tokenizer, sequence), "pieces")
+    rests = pieces.where(F.col("length") < sequence)
+    groups = groups_for(rests.count(), group_docs)
+    rests = rests.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", F.crc32("ids"), F.monotonically_increasing_id()), F.lit(groups)))
+
+    def widened(ids: pd.Series) -> list[bytes]:
+        return [np.frombuffer(x, dtype=kind).astype("<u4").tobytes() for x in ids]
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
         bins, offsets = first_fit_decreasing(frame["length"].to_numpy(), sequence)
         _, bins = np.unique(bins, return_inverse=True)
-        frame["ids"] = [np.frombuffer(x, dtype=kind).astype("<u4").tobytes() for x in frame["ids"]]
-        return frame.drop(columns="part").assign(sequence_id=(int(key[0]) << 24) + bins, offset=offsets)
+        frame["ids"] = widened(frame["ids"])
+        return frame.drop(columns="part").assign(sequence_id=2 * ((int(key[0]) << 24) + bins), offset=offsets)
+
+    @F.pandas_udf("binary")
+    def wide(ids: pd.Series) -> pd.Series:
+        return pd.Series(widened(ids), dtype=object)
 
-    return pieces.groupBy("part").applyInPandas(pack, f"{PIECES}, sequence_id long, offset long")
+    whole = pieces.where(F.col("length") == sequence).withColumns({"ids": wide("ids"), "sequence_id": 2 * F.monotonically_increasing_id() + 1, "offset": F.lit(0).cast("long")})
+    return whole.unionByName(rests.groupBy("part").applyInPandas(pack, f"{PIECES}, sequence_id long, offset long"))
