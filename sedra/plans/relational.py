@@ -265,6 +265,13 @@ def union_all(table):
     return e.where("user_id < 50").unionByName(e.where("user_id < 100"))
 
 
+@query("SELECT event_id, user_id FROM events UNION ALL SELECT event_id, user_id FROM events")
+def union_all_whole(table):
+    """All events with all events; the other union is over subsets of few users."""
+    e = table("events").select("event_id", "user_id")
+    return e.unionByName(e)
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def distinct_keys(table):
     return table("events").select("user_id", "event_type").distinct()
