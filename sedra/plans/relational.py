@@ -131,6 +131,14 @@ def order_range_bound(table):
     return top.select("k", F.row_number().over(Window.orderBy(F.desc("r.upper"), "k")).alias("place"))
 
 
+@query(f"SELECT k, row_number() OVER (PARTITION BY o_custkey ORDER BY hi DESC, k)::INT AS place FROM {_SPANS} LEFT JOIN orders ON o_orderkey = k")
+def order_range_place(table):
+    """The place of every range among its customer's, by its upper bound."""
+    spans = table("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(typed.date_range(F.min("l_shipdate").cast("date"), F.max("l_shipdate").cast("date"), 3).alias("r"))
+    rows = spans.join(table("orders").select("o_orderkey", "o_custkey"), F.col("k") == F.col("o_orderkey"), "left")
+    return rows.select("k", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("r.upper"), "k")).alias("place"))
+
+
 @query("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 def limit_n(table):
     return Select(table("orders")).field("o_orderkey").order("o_totalprice", True).order("o_orderkey").limit(10).frame_()

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name, share", [("union_all_whole", "SELECT 2 * count(*) FROM events")])
+@pytest.mark.parametrize("name, share", [("union_all_whole", "SELECT 2 * count(*) FROM events"), ("order_range_place", "SELECT count(DISTINCT l_orderkey) FROM lineitem")])
 def test_whole(spark, name, share):
     con = duckdb.connect()
     for t in ("events", "lineitem", "orders"):
