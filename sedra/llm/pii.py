@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from itertools import product
 
 import ahocorasick
 import pandas as pd
@@ -42,11 +43,16 @@ def _mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def _cased(word: str, what: str) -> list[tuple[str, str]]:
+    """The word in every spelling of upper and lower case, as its parser takes them all."""
+    return [("".join(x), what) for x in product(*[(c, c.upper()) for c in word])]
+
+
 @cache
 def _anchors() -> ahocorasick.Automaton:
     """Anchor text -> (kind of anchor, its length)."""
     out = ahocorasick.Automaton()
-    for word, what in (("@", "at"), ("://", "scheme"), ("iban", "iban"), ("IBAN", "iban"), ("account", "account"), ("Account", "account"), ("acct", "account"), ("Acct", "account")):
+    for word, what in (("@", "at"), ("://", "scheme"), *_cased("iban", "iban"), *_cased("account", "account"), *_cased("acct", "account")):
         out.add_word(word, (what, len(word)))
     for a in "0123456789":
         out.add_word(f"+{a}", ("plus", 2))
