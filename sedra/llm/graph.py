@@ -11,17 +11,18 @@ from .shared import written
 def _starred(edges: DataFrame, large: bool) -> DataFrame:
     """Each node links its larger (or smaller) neighbours to the least of its neighbours and itself.
 
-    The least neighbour is summed partially before its shuffle; the join back is
-    an ordinary shuffled join, in which a hub's links can be split.
+    The least neighbours are summed partially and written before they are joined
+    back: a join on the aggregate itself would take over its partitioning, and
+    adaptive execution could not split a hub's links.
     """
     to = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = to.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    least = written(to.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
     linked = to.join(least, "a")
     if large:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return written(out.where("a <> b").distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,4 +39,4 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == was:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         was = mark
-        now = written(_starred(_starred(now, True), False), "links")
+        now = _starred(_starred(now, True), False)

@@ -13,7 +13,7 @@ connected, not all its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -42,11 +42,16 @@ def simhash(text: str | None) -> int:
         return 0
     digest = xxhash.xxh64_intdigest
     n = max(1, len(words) - WORDS + 1)
-    votes = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 16):
-        few = [digest(b" ".join(words[i : i + WORDS]), SEED) for i in range(at, min(n, at + (1 << 16)))]
+    return majority([digest(b" ".join(words[i : i + WORDS]), SEED) for i in range(at, min(n, at + (1 << 16)))] for at in range(0, n, 1 << 16))
+
+
+def majority(parts: Iterable) -> int:
+    """Signed 64-bit integer of the bits set in over half of all hashes, which come in parts; zero if there are none."""
+    votes, n = np.zeros(64, dtype=np.int64), 0
+    for few in parts:
         bits = np.unpackbits(np.array(few, dtype=">u8").view(np.uint8)).reshape(-1, 64)
         votes += bits.sum(axis=0, dtype=np.int64)
+        n += len(few)
     return int(np.packbits(votes * 2 > n).view(">i8")[0])
 
 
@@ -198,7 +203,9 @@ def clustered(table: DataFrame, max_bits: int = 4) -> DataFrame:
     prints = written(table.groupBy("fp").agg(first.alias("first")), "prints")
     roots = components(near_links(prints, max_bits)).withColumnRenamed("node", "fp")
     prints = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = prints.groupBy("root").agg(F.min("first").alias("least"))
+    prints = written(prints, "rooted")
+    # written, so that the join deals both sides anew and can split a class of many fingerprints
+    firsts = written(prints.groupBy("root").agg(F.min("first").alias("least")), "firsts")
     out = prints.join(firsts, "root").select("fp", F.col("least.id").alias("component_id"), F.col("least.uid").alias("keeper"))
     return written(out, "clusters")
 
