@@ -70,8 +70,10 @@ def fingerprinted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", c
 class _Trie:
     """The sorted rows of several tries, and who hangs together so far."""
 
-    def __init__(self, keys: np.ndarray):
-        self.keys, self.root, self.ones = keys, np.arange(len(keys)), {}
+    def __init__(self, keys: np.ndarray, listed: np.ndarray):
+        """listed: rows of tries whose links are all wanted, so that none of them count as hanging together."""
+        self.keys, self.root, self.ones, self.listed = keys, np.arange(len(keys)), {}, listed
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
         self.touch()
 
     def touch(self) -> None:
@@ -91,14 +93,21 @@ class _Trie:
         return p[:, ~((s[ahi - 1] == s[alo]) & (s[bhi - 1] == s[blo]) & (self.root[alo] == self.root[blo]))]
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Hooks the larger root of each pair to the smaller; `links` keeps the one pair that each hook is due to."""
         root = self.root
+        if self.listed.any():
+            all_ = self.listed[i]
+            self.links.append((i[all_ & (i != j)], j[all_ & (i != j)]))
+            i, j = i[~all_], j[~all_]
         while True:
             a, b = root[i], root[j]
             apart = a != b
             if not apart.any():
                 break
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            high, one = np.unique(np.maximum(a, b), return_index=True)
+            root[high] = np.minimum(a, b)[one]
+            self.links.append((i[one], j[one]))
             while not np.array_equal(up := root[root], root):
                 root[:] = up
         self.touch()
@@ -129,18 +138,29 @@ class _Trie:
             stack.append((depth + 1, after[:, full & ~lone]))
 
 
-def _linked(frame: pd.DataFrame, max_bits: int) -> pd.DataFrame:
-    frame = frame.assign(key=frame["key"].to_numpy().view(np.uint64)).sort_values(["lead", "trie", "key"])
-    fp, keys, names, lead = (frame[c].to_numpy() for c in ("fp", "key", "trie", "lead"))
-    head = keys >> (64 - lead).astype(np.uint64)
+def walked(frame: pd.DataFrame, max_bits: int, whole: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (node, key, trie, lead) of several tries -> nodes (a, b) of links within max_bits, each of which joined two classes of its trie.
+
+    Keys of one trie agree in their first `lead` bits; nodes of equal keys in one
+    trie are linked to the first of them. Tries of at most `whole` keys give all
+    their links.
+    """
+    frame = frame.assign(key=frame["key"].to_numpy().view(np.uint64)).sort_values(["lead", "trie", "key", "node"])
+    node, keys, names, lead = (frame[c].to_numpy() for c in ("node", "key", "trie", "lead"))
+    apart = (names[1:] != names[:-1]) | (lead[1:] != lead[:-1])
+    first = np.append(True, apart | (keys[1:] != keys[:-1]))
+    run = np.cumsum(first) - 1
+    same = node[~first], node[first][run[~first]]
+    node, keys, names, lead = node[first], keys[first], names[first], lead[first]
+    head = keys >> (64 - lead).astype(np.uint64) if lead.any() else np.zeros(len(keys), dtype=np.uint64)
     edges = np.flatnonzero((head[1:] != head[:-1]) | (names[1:] != names[:-1]) | (lead[1:] != lead[:-1])) + 1
     lo, hi = np.append(0, edges), np.append(edges, len(keys))
-    trie = _Trie(keys)
+    trie = _Trie(keys, np.repeat(hi - lo <= whole, hi - lo))
     for start in np.unique(lead).tolist():
         here = lead[lo] == start
         trie.walk(start, lo[here], hi[here], max_bits)
-    own = np.flatnonzero(trie.root != np.arange(len(keys)))
-    return pd.DataFrame({"a": fp[own], "b": fp[trie.root[own]]})
+    a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *[x[k] for x in trie.links]]) for k in (0, 1))
+    return np.append(same[0], node[a]), np.append(same[1], node[b])
 
 
 def _dealt(rows: DataFrame, lead: int, blocks: int) -> DataFrame:
@@ -189,7 +209,7 @@ def near_links(prints: DataFrame, max_bits: int = 4, group_rows: int = 8192, tri
     rows = rows.withColumn("part", F.pmod(F.xxhash64("trie"), F.lit(groups_for(rows.count(), group_rows))))
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
-        return _linked(frame, max_bits)
+        return pd.DataFrame(dict(zip("ab", walked(frame.assign(node=frame["fp"]), max_bits))))
 
     return rows.groupBy("part").applyInPandas(link, "a long, b long")
 
