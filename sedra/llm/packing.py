@@ -105,9 +105,9 @@ def _vocabulary(path: str) -> int:
 
 def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str = "byte_bpe_50k.json", sequence: int = SEQUENCE) -> DataFrame:
     """PIECES of each document: its ids and the end id, cut every `sequence` ids; ids little-endian, as _narrow() has them."""
-    path, ranks = tokenizer_path(tokenizer), tokenizer_path(tokenizer.replace(".json", ".tiktoken"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, ranks = tokenizer_path(tokenizer), tokenizer_path(tokenizer.replace(".json", ".tiktoken"))  # where this task runs
         encode, kind = _encoder(path, ranks), _narrow(_vocabulary(path))
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
         for batch in batches:

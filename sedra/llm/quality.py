@@ -95,8 +95,8 @@ def host_verdicts(table: DataFrame, host_limit: float = 0.5) -> DataFrame:
         m, v = F.sum(r) / F.sum("n"), F.var_pop(F.col(r) / F.col("n"))
         weight = F.greatest(F.lit(1.0), F.least(F.lit(1e4), F.when(v > 0, m * (1 - m) / v - 1).otherwise(F.lit(1e4))))
         fit += [m.alias(f"{r}_m"), weight.alias(f"{r}_w")]
-    prior = hosts.agg(*fit)  # one row
-    value = lambda c: prior.select(c).scalar()
+    prior = hosts.agg(*fit).first()  # two numbers for each rule; null if there is no host
+    value = lambda c: F.lit(prior[c]).cast("double")
     rate = {r: (F.col(r) + value(f"{r}_m") * value(f"{r}_w")) / (F.col("n") + value(f"{r}_w")) for r in rules}
     enforced = F.array_compact(F.array(*[F.when(rate[r] > host_limit, F.lit(r)) for r in rules]))
     return hosts.select("host_key", enforced.alias("enforced")).where(F.size("enforced") > 0)
