@@ -1,18 +1,35 @@
-"""The nine accumulators as aggregate columns, in an integer and a floating form.
+"""The nine accumulators as aggregate columns, in an integer and a floating form, and a registry of own ones.
 
 Integer inputs keep integer results: averages and variances divide with
 truncation, deviations are truncated roots. Nulls are skipped, except that count
 counts rows. Empty inputs give 0 for avg, var and dev, and null for min and max.
+A result beyond a long raises.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegralType
 
 METHODS = ("count", "sum", "min", "max", "avg", "varp", "vars", "devp", "devs")
 
+_own: dict[str, Callable[[Column], Column]] = {}
+
+
+def register(method: str, f: Callable[[Column], Column]) -> None:
+    """Adds an accumulator of one's own: from the input column to an aggregate column."""
+    if method in METHODS:
+        raise ValueError(f"{method} is built in")
+    _own[method] = f
+
+
+def known(method: str) -> bool:
+    return method in METHODS or method in _own
+
 
 def div(a: Column, b: Column) -> Column:
     """Truncating integer division."""
@@ -23,27 +40,60 @@ def is_integer(kind: DataType) -> bool:
     return isinstance(kind, IntegralType)
 
 
+def _sum(c: Column) -> Column:
+    return F.sum(c).cast("decimal(38,0)")
+
+
 def _integer_variance(c: Column, less: int) -> Column:
-    """(n * sum of squares - sum squared) div (n * (n - less)), 0 where there is nothing to divide by."""
-    n = F.count(c).cast("decimal(20,0)")
-    x = c.cast("decimal(19,0)")
-    top = n * F.sum((x * x).cast("decimal(38,0)")) - F.sum(x) * F.sum(x)
-    bottom = n * (n - F.lit(less).cast("decimal(20,0)"))
-    return F.coalesce(F.when(bottom > 0, div(top, bottom)), F.lit(0)).cast("bigint")
+    """(n * sum of squares - sum squared) div (n * (n - less)), 0 where there is nothing to divide by.
+
+    The sums are of the distances from the truncated mean, so that neither large
+    values nor many rows overflow: a value is 2^32 * a + b, and the sums of a, b
+    and their products are moved to the mean after the one pass over the rows.
+    """
+    x, n = c.cast("bigint"), F.count(c).cast("decimal(20,0)")
+    a, b = F.shiftright(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF))
+    wide = b.cast("decimal(10,0)")
+    total = _sum(x.cast("decimal(19,0)"))
+    mean = div(total, n)
+    p, q = F.shiftright(mean, 32).cast("decimal(10,0)"), mean.bitwiseAND(F.lit(0xFFFFFFFF)).cast("decimal(10,0)")
+    sum_a, sum_b = _sum(a.cast("decimal(10,0)")), _sum(wide)
+    aa = _sum((a * a).cast("decimal(19,0)")) - 2 * p * sum_a + n * p * p
+    bb = _sum(wide * wide) - 2 * q * sum_b + n * q * q
+    ab = _sum((a * b).cast("decimal(19,0)")) - p * sum_b - q * sum_a + n * p * q
+    whole = lambda e: e.cast("decimal(38,0)")
+    squares = whole(whole(F.lit(Decimal(2**64))) * whole(aa)) + whole(F.lit(Decimal(2**33)) * whole(ab)) + whole(bb)
+    rest = total - n * mean.cast("decimal(19,0)")
+    freedom = n - F.lit(less).cast("decimal(1,0)")
+    beyond = whole(squares) >= whole(freedom * F.lit(Decimal(2**63)))  # a division to long would wrap around
+    most = F.when(beyond, F.raise_error(F.lit("OVERFLOW: a variance is beyond a long")).cast("bigint")).otherwise(div(whole(squares), freedom))
+    bottom = (n * freedom).cast("decimal(38,0)")
+    # what is left over is above -3 and below 1 of `bottom`; the shift by 3 keeps the division among positive numbers
+    over = whole(n * whole(whole(squares) - most.cast("decimal(19,0)") * freedom)) - whole(rest * rest)
+    return F.coalesce(F.when(freedom > 0, most + div(whole(over + 3 * bottom), bottom) - 3), F.lit(0)).cast("bigint")
+
+
+def integer_root(c: Column) -> Column:
+    """Truncated square root of a non-negative long, exact also where a double isn't."""
+    r = F.floor(F.sqrt(c.cast("double"))).cast("decimal(11,0)")
+    v = c.cast("decimal(19,0)")
+    return F.when(r * r > v, r - 1).when((r + 1) * (r + 1) <= v, r + 1).otherwise(r).cast("bigint")
 
 
 def accumulate(method: str, c: Column, integer: bool) -> Column:
     """One accumulator over a column."""
     zero = lambda x: F.coalesce(x, F.lit(0.0))
+    if method in _own:
+        return _own[method](c)
     if method == "count":
         return F.count(F.lit(1))
     if method in ("sum", "min", "max"):
         return getattr(F, method)(c)
     if integer:
         if method == "avg":
-            return F.coalesce(F.when(F.count(c) > 0, div(F.sum(c), F.count(c))), F.lit(0)).cast("bigint")
+            return F.coalesce(F.when(F.count(c) > 0, div(_sum(c.cast("decimal(19,0)")), F.count(c))), F.lit(0)).cast("bigint")
         variance = _integer_variance(c, 1 if method.endswith("s") else 0)
-        return variance if method.startswith("var") else F.floor(F.sqrt(variance)).cast("bigint")
+        return variance if method.startswith("var") else integer_root(variance)
     if method == "avg":
         return zero(F.avg(c))
     named = {"varp": F.var_pop, "vars": F.var_samp, "devp": F.stddev_pop, "devs": F.stddev_samp}

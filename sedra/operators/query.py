@@ -104,12 +104,22 @@ def inserted(table: DataFrame, rows: DataFrame, defaults: dict[str, object] | No
     return table.unionByName(rows, allowMissingColumns=True)
 
 
-def updated(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """table with the non-null fields of changes, by key; keys without a row do nothing."""
-    fields = [c for c in changes.columns if c not in key]
-    new = changes.withColumnsRenamed({c: f"new_{c}" for c in fields})
+def updated(table: DataFrame, changes: DataFrame, key: list[str], changed: str | None = None) -> DataFrame:
+    """table with the fields of changes, by key; keys without a row do nothing, null keys match nothing.
+
+    Without `changed`, the non-null fields are set. `changed` names a column of changes
+    that lists the fields to set, as changed_fields() gives it; so a field can be set to null.
+    """
+    fields = [c for c in changes.columns if c not in (*key, changed)]
+    new = changes.withColumnsRenamed({c: f"new_{c}" for c in fields} | ({changed: "new_fields"} if changed else {}))
     out = table.join(new, key, "left")
-    return out.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in fields else F.col(c) for c in table.columns])
+
+    def value(c: str) -> Column:
+        if changed:
+            return F.when(F.coalesce(F.array_contains("new_fields", c), F.lit(False)), F.col(f"new_{c}")).otherwise(F.col(c))
+        return F.coalesce(f"new_{c}", c)
+
+    return out.select(*[value(c).alias(c) if c in fields else F.col(c) for c in table.columns])
 
 
 def deleted(table: DataFrame, condition: Column | None = None, keys: DataFrame | None = None) -> DataFrame:
@@ -120,7 +130,7 @@ def deleted(table: DataFrame, condition: Column | None = None, keys: DataFrame |
 
 
 def synced(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows with a known key replace it, the others are added."""
+    """Rows with a known key replace it, the others are added; so are rows with a null in the key, each time, as nulls match nothing."""
     return table.join(rows.select(*key), key, "left_anti").unionByName(rows)
 
 
@@ -133,13 +143,19 @@ def changed_fields(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def range_join(left: DataFrame, right: DataFrame, width: float, low: str, high: str, at: str) -> DataFrame:
-    """Rows of right whose `at` is in [low, high) of a row of left: equal buckets of `width`, then the exact test.
+    """Rows of right whose `at` is in [low, high) of a row of left: equal buckets, then the exact test.
 
-    Ranges are dealt to the buckets they touch, so that the join is an equi-join.
+    A range goes to buckets of its own size, `width` times a power of two, so that it
+    touches two at most, however wide it is. A row of right goes to one bucket of
+    each size that occurs, of which there are as many as the sizes have digits.
     """
-    span = F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))
-    cut = left.where(F.col(low) < F.col(high)).withColumn("bucket", span)
-    return cut.join(right.withColumn("bucket", F.floor(F.col(at) / width)), "bucket").where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("bucket")
+    size = F.greatest(F.lit(0.0), F.ceil(F.log2((F.col(high) - F.col(low)).cast("double") / width))).cast("int")
+    cut = left.where(F.col(low) < F.col(high)).withColumn("size", size)
+    sizes = cut.agg(F.collect_set("size").alias("sizes")).select("sizes").scalar()
+    bucket = lambda c: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col("size"))))
+    cut = cut.withColumn("bucket", F.explode(F.sequence(bucket(low), bucket(high))))
+    dealt = right.withColumn("size", F.explode(sizes)).withColumn("bucket", bucket(at))
+    return cut.join(dealt, ["size", "bucket"]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("size", "bucket")
 
 
 def trimmed(df: DataFrame, order: list[Column], n: int, key: list[str] | None = None) -> DataFrame:

@@ -49,3 +49,24 @@ def flattened(parent: Node, child: Node) -> DataFrame:
     c = child.frame.select(F.struct("*").alias("child"))
     on = [F.col(f"parent.{a}") == F.col(f"child.{b}") for a, b in child.on]
     return p.join(c, on)
+
+
+def counted(node: Node) -> DataFrame:
+    """Root rows with the number of rows of each relation below, under its name, summed level by level from the leaves.
+
+    Nothing is nested, so a root with a fifth of all leaves is one row of sums.
+    """
+    out = node.frame
+    for child in node.children:
+        rows = counted(child)
+        names = [f"_{child.name}_{parent}" for parent, _ in child.on]
+        keys = [F.col(own).alias(n) for (_, own), n in zip(child.on, names)]
+        below = [d.name for d in descendants(child)]
+        sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(child.name), *[F.sum(d).alias(d) for d in below])
+        joined = out.join(sums, [out[parent] == sums[n] for (parent, _), n in zip(child.on, names)], "left").drop(*names)
+        out = joined.fillna(0, [child.name, *below])
+    return out
+
+
+def descendants(node: Node) -> list[Node]:
+    return [d for c in node.children for d in (c, *descendants(c))]

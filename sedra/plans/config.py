@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import resolve, transforms
+from ..functions.aggregates import known
 from .nest import Aggregate, Group, Level, Nest
 
 PREFIX = "vh_acm_"  # fixed value: how configurations name accumulators
-ACCUMULATORS = ("avg", "devp", "devs", "max", "min", "sum", "varp", "vars", "count")
 
 
 class ConfigError(ValueError):
@@ -50,41 +51,75 @@ def _transform(node: object, find, where: str):
     raise ConfigError(f"{where}: unknown transform {method}")
 
 
+def _group(node: object, where: str) -> Group:
+    name = _get(node, "columnName", str, where)
+    find = _search(_get(node, "searchPath", dict, where), where)
+    if _get(node, "groupByType", str, where, "") == "PrepCol":
+        find = _transform(_get(node, "prepCol", dict, where), find, where)
+    return Group(name, find)
+
+
+def _aggregate(node: object, where: str) -> Aggregate:
+    method = _get(node, "methodName", str, where).removeprefix(PREFIX)
+    if not known(method):
+        raise ConfigError(f"{where}: unknown accumulator {method}")
+    return Aggregate(_get(node, "columnName", str, where), method, _search(_get(node, "searchPath", dict, where), where))
+
+
+def _parts(node: object, where: str) -> list[tuple[object, str, Callable]]:
+    """Each group and aggregate of a level, where it stands, and what reads it."""
+    groups, aggregates = _get(node, "groupBy", list, where), _get(node, "aggregate", list, where, [])
+    return [(g, f"{where}.groupBy[{i}]", _group) for i, g in enumerate(groups)] + [(a, f"{where}.aggregate[{i}]", _aggregate) for i, a in enumerate(aggregates)]
+
+
 def _level(node: object, where: str) -> Level:
-    groups, aggregates = [], []
-    for i, g in enumerate(_get(node, "groupBy", list, where)):
-        at = f"{where}.groupBy[{i}]"
-        name = _get(g, "columnName", str, at)
-        find = _search(_get(g, "searchPath", dict, at), at)
-        if _get(g, "groupByType", str, at, "") == "PrepCol":
-            find = _transform(_get(g, "prepCol", dict, at), find, at)
-        groups.append(Group(name, find))
-    for i, a in enumerate(_get(node, "aggregate", list, where, [])):
-        at = f"{where}.aggregate[{i}]"
-        method = _get(a, "methodName", str, at).removeprefix(PREFIX)
-        if method not in ACCUMULATORS:
-            raise ConfigError(f"{at}: unknown accumulator {method}")
-        aggregates.append(Aggregate(_get(a, "columnName", str, at), method, _search(_get(a, "searchPath", dict, at), at)))
-    return Level(tuple(groups), tuple(aggregates))
+    read = [f(x, at) for x, at, f in _parts(node, where)]
+    return Level(tuple(r for r in read if isinstance(r, Group)), tuple(r for r in read if isinstance(r, Aggregate)))
 
 
-def parse(text: str) -> Nest:
-    """The nest that a configuration describes."""
+def _levels(text: str) -> list[tuple[object, str]]:
     try:
         node = json.loads(text)
     except ValueError as e:
         raise ConfigError(str(e)) from e
     levels = _get(node, "nestLevels", object, "nest")
-    return Nest(tuple(_level(x, f"nestLevels[{i}]") for i, x in enumerate(levels if isinstance(levels, list) else [levels])))
+    return [(x, f"nestLevels[{i}]") for i, x in enumerate(levels if isinstance(levels, list) else [levels])]
+
+
+def parse(text: str) -> Nest:
+    """The nest that a configuration describes; the first error raises."""
+    return Nest(tuple(_level(x, where) for x, where in _levels(text)))
+
+
+def table(text: str) -> Callable[[SparkSession], str]:
+    """A table path, {"methodName": "table", "schemaName": .., "tableName": ..}: looked up in a session, as schema.table.
+
+    schemaName may be a list, of which the first that has the table counts.
+    """
+    node = json.loads(text)
+    schemas = _get(node, "schemaName", object, "table")
+    name = _get(node, "tableName", str, "table")
+    return lambda spark: resolve.table(spark, name, schemas if isinstance(schemas, list) else [schemas])
+
+
+KEYS = {"columnName", "searchPath", "groupByType", "prepCol", "methodName"}
 
 
 def check(text: str) -> list[str]:
-    """Check only: what is wrong, or nothing."""
-    try:
-        parse(text)
-    except ConfigError as e:
-        return [str(e)]
-    return []
+    """Check only: all that is wrong, by place; keys that nothing reads are told with `warn: ` before them."""
+    found: list[str] = []
+
+    def tried(f: Callable, *a: object) -> object:
+        try:
+            return f(*a)
+        except ConfigError as e:
+            found.append(str(e))
+
+    for level, where in tried(_levels, text) or []:
+        for node, at, f in tried(_parts, level, where) or []:
+            tried(f, node, at)
+            found.extend(f"warn: {at}: {k} is not read" for k in (node if isinstance(node, dict) else {}) if k not in KEYS)
+    return found
 
 
 def run(text: str, df: DataFrame) -> DataFrame:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import transforms as t
 from ..functions.resolve import field
+from ..sources.store import scratch_dir
 from ..streaming.nests import events_stream, run_to_table
 from . import config
 from .nest import Aggregate, Group, Level, Nest
@@ -135,8 +135,7 @@ def stream_nest(table):
     """The flagship nest fed by a stream until nothing is left, in complete mode."""
     events = table("events")
     spark, files = events.sparkSession, events.inputFiles()
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="sedra-")
-    run = f"{folder}/sedra-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    run = f"{scratch_dir(spark)}/sedra-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
     folder, _, name = files[0].rpartition("/")
     stream = events_stream(spark, folder, events.schema, glob=name if len(files) == 1 else "*.parquet")
     return _rounded(run_to_table(bucket_nest(), stream, f"{run}/table", f"{run}/checkpoint"))

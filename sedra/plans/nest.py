@@ -80,6 +80,8 @@ class Nest:
             (level,) = self.levels
             return df.groupBy(*[g.column(df).alias(g.name) for g in level.groups]).agg(*self._aggregates(df, level))
         groups = {g.name: g.column(df) for level in self.levels for g in level.groups}
+        if taken := ({*groups, *(a.name for level in self.levels for a in level.aggregates)} & {"level"}):
+            raise ValueError(f"several levels have a column {taken.pop()} of their own")
         keyed = df.withColumns({f"key_{n}": c for n, c in groups.items()})
         sets = [[F.col(f"key_{g.name}") for g in level.groups] for level in self.levels]
         named = self._named(df)

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, or, where unset and all run on one machine, a temporary one."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return found or "file://" + tempfile.mkdtemp(prefix="sedra-")
+
+
 class Store:
     """Parquet tables by name. A replacement is staged beside the table and then swapped in."""
 
@@ -27,7 +38,11 @@ class Store:
         rows.write.mode("append").parquet(self.path(name))
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Writes rows, which may read the table itself, and swaps them in; a failed write leaves the table as it was."""
+        """Writes rows, which may read the table itself, and swaps them in; a failed write leaves the table as it was.
+
+        Between the two renames of the swap no table has the name: readers at that
+        moment fail, and after a crash there the old one is beside it as `.old`.
+        """
         staged, old = f"{self.path(name)}.staged", f"{self.path(name)}.old"
         rows.write.mode("overwrite").parquet(staged)
         fs, p = self._fs(), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path

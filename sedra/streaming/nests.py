@@ -23,16 +23,22 @@ def events_stream(spark: SparkSession, path: str, schema: StructType, watermark:
 def run_to_table(nest: Nest, stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Feeds all that is there, batch by batch, into a Parquet table at path and reads it.
 
-    In complete mode each batch replaces the table; in update mode it appends the
-    groups that changed, with their batch number.
+    In complete mode each batch replaces the table; in update mode it writes the
+    groups that changed to a partition of its own, `batch`, so that a batch that is
+    replayed after a failure replaces what it wrote. A stream without a batch gives
+    an empty frame.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(path)
-        else:
-            batch.selectExpr("*", f"{number}L AS batch").write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
 
-    query = nest.frame(stream).writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
+    frame = nest.frame(stream)
+    query = frame.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(path)
+    spark = stream.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        empty = spark.createDataFrame([], frame.schema)
+        return empty if mode == "complete" else empty.withColumn("batch", F.lit(0).cast("long"))
+    out = spark.read.parquet(path)
+    return out if mode == "complete" else out.withColumn("batch", F.col("batch").cast("long"))
