@@ -26,32 +26,41 @@ def _block_distances(kind: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt((apart * apart).sum(axis=2)) if kind == "euclid" else np.abs(apart).sum(axis=2)
 
 
-def neighbours(test: DataFrame, train: DataFrame, k: int = 3, kind: str = "euclid", block: int = 2048) -> DataFrame:
+def neighbours(test: DataFrame, train: DataFrame, k: int = 3, kind: str = "euclid", block: int = 8192, test_block: int = 65536) -> DataFrame:
     """(id, rank, train_id, label, dist): the k nearest rows of train for each row of test; both have id, v, label.
 
-    Rows are dealt to blocks; each pair of blocks is one group whose best k per
-    test row are kept, then merged. Ties in distance, rounded to nine digits, go to
-    the smaller train id.
+    Labels keep their type. Null vectors and those with a null or non-finite
+    component take no part, and vectors are compared with those of their length
+    only. Train rows are dealt to blocks and travel once for each test_block test
+    rows; the best k of a block are kept for each test row, then merged. Ties in
+    distance, rounded to nine digits, go to the smaller train id.
     """
-    n_test, n_train = max(1, -(-test.count() // block)), max(1, -(-train.count() // block))
-    left = test.select("id", "v", F.lit(0).alias("label"), F.pmod(F.xxhash64("id"), F.lit(n_test)).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_train - 1).cast("long"))).alias("c"), F.lit(True).alias("asks"))
-    right = train.select("id", "v", F.col("label").cast("int"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_test - 1).cast("long"))).alias("q"), F.pmod(F.xxhash64("id"), F.lit(n_train)).alias("c"), F.lit(False).alias("asks"))
+    whole = lambda v: F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = lambda df: df.withColumn("v", F.col("v").cast("array<double>")).where(F.col("v").isNotNull() & whole(F.col("v")))
+    test, train = usable(test), usable(train)
+    n_test, n_train = max(1, -(-test.count() // test_block)), max(1, -(-train.count() // block))
+    label = train.schema["label"].dataType.simpleString()
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = test.select("id", "v", F.lit(None).cast(label).alias("label"), F.pmod(F.xxhash64("id"), F.lit(n_test)).alias("q"), span(n_train).alias("c"), F.lit(True).alias("asks"))
+    right = train.select("id", "v", "label", span(n_test).alias("q"), F.pmod(F.xxhash64("id"), F.lit(n_train)).alias("c"), F.lit(False).alias("asks"))
 
     def best(frame: pd.DataFrame) -> pd.DataFrame:
-        asks = frame["asks"].to_numpy()
-        q, c = frame[asks], frame[~asks].sort_values("id")
-        found = []
-        if len(q) and len(c):
-            cv, ids, labels = np.stack(c["v"].to_numpy()).astype(float), c["id"].to_numpy(), c["label"].to_numpy()
-            for at in range(0, len(q), 64):
-                some = q.iloc[at : at + 64]
-                d = _block_distances(kind, np.stack(some["v"].to_numpy()).astype(float), cv).round(9)
+        asks, found = frame["asks"].to_numpy(), []
+        lengths = frame["v"].map(len).to_numpy()
+        for length in np.unique(lengths[asks]):
+            q, c = frame[asks & (lengths == length)], frame[~asks & (lengths == length)].sort_values("id")
+            if not len(c):
+                continue
+            cv, ids, labels = np.stack(c["v"].to_numpy()), c["id"].to_numpy(), c["label"].to_numpy()
+            for at in range(0, len(q), 16):
+                some = q.iloc[at : at + 16]
+                d = _block_distances(kind, np.stack(some["v"].to_numpy()), cv).round(9)
                 for qid, row in zip(some["id"], d):
                     top = np.argsort(row, kind="stable")[:k]
                     found.append(pd.DataFrame({"id": qid, "train_id": ids[top], "label": labels[top], "dist": row[top]}))
         return pd.concat(found) if found else pd.DataFrame({"id": [], "train_id": [], "label": [], "dist": []})
 
-    parts = left.unionByName(right).groupBy("q", "c").applyInPandas(best, "id long, train_id long, label int, dist double")
+    parts = left.unionByName(right).groupBy("q", "c").applyInPandas(best, f"id long, train_id long, label {label}, dist double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "train_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import transforms as t
+from ..functions.aggregates import register
 from ..functions.resolve import field
 from ..sources.store import scratch_dir
 from ..streaming.nests import events_stream, run_to_table
@@ -74,6 +75,41 @@ def nest_nine_int(table):
     return _nine(("p_brand",), "p_size").frame(table("part"))
 
 
+_HOUR = "epoch_us(date_trunc('hour', ts))"
+
+
+@query(f"""WITH e AS (SELECT event_type, {_HOUR} AS hour, epoch_us(ts)::HUGEINT AS x FROM events),
+b AS (SELECT *, x - min(x) OVER (PARTITION BY event_type, hour) AS d FROM e),
+s AS (SELECT event_type, hour, count(*)::HUGEINT AS n, sum(x)::BIGINT AS s, min(x)::BIGINT AS lo, max(x)::BIGINT AS hi, sum(d)::HUGEINT AS t, sum(d * d)::HUGEINT AS q FROM b GROUP BY ALL),
+v AS (SELECT *, ((n * q - t * t) // (n * n))::BIGINT AS varp, CASE WHEN n > 1 THEN ((n * q - t * t) // (n * (n - 1)))::BIGINT ELSE 0 END AS vars FROM s)
+SELECT event_type, hour::BIGINT AS hour, n::BIGINT AS count, s AS sum, lo AS min, hi AS max, (s // n)::BIGINT AS avg, varp, vars, floor(sqrt(varp))::BIGINT AS devp, floor(sqrt(vars))::BIGINT AS devs FROM v""")
+def nest_nine_long(table):
+    """All nine accumulators over microseconds since 1970, whose squares are beyond 38 digits when summed and multiplied."""
+    rows = table("events").withColumns({"x": F.unix_micros(F.col("ts").cast("timestamp")), "hour": F.unix_micros(F.date_trunc("hour", "ts").cast("timestamp"))})
+    return _nine(("event_type", "hour"), "x").frame(rows)
+
+
+@query("""SELECT l_returnflag AS flag, l_linestatus AS status, grouping_id(l_returnflag, l_linestatus)::BIGINT AS level,
+CASE WHEN grouping_id(l_returnflag, l_linestatus) = 1 THEN count(*) END AS n, CASE WHEN grouping_id(l_returnflag, l_linestatus) = 0 THEN max(l_linenumber) END AS most, min(l_linenumber) AS least
+FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_returnflag, l_linestatus))""")
+def nest_levels_own(table):
+    """Two levels with an aggregate of their own each, and one that both name."""
+    flag, status = Group("flag", field("l_returnflag")), Group("status", field("l_linestatus"))
+    line = field("l_linenumber")
+    least = Aggregate("least", "min", line)
+    out = Nest((Level((flag,), (Aggregate("n", "count"), least)), Level((flag, status), (Aggregate("most", "max", line), least)))).frame(table("lineitem"))
+    return out.withColumn("level", F.col("level").cast("long"))
+
+
+register("width", lambda c: F.max(c) - F.min(c))
+
+
+@query("SELECT p_brand, max(p_size) - min(p_size) AS w FROM part GROUP BY p_brand")
+def nest_own_accumulator(table):
+    """An accumulator that isn't built in."""
+    return Nest((Level((Group("p_brand", field("p_brand")),), (Aggregate("w", "width", field("p_size")),)),)).frame(table("part"))
+
+
 @query("""SELECT c_mktsegment AS segment, count(*) AS n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey GROUP BY ALL""")
 def nest_null_group(table):
     """A null key forms a group."""
@@ -130,6 +166,24 @@ def cfg_nest(table):
     return _rounded(config.run(CONFIG, table("events")))
 
 
+_TYPE = {"columnName": "event_type", "searchPath": {"methodName": "field", "fieldName": "event_type"}}
+_DEFAULT = {"groupByType": "PrepCol", "columnName": "all", "searchPath": {"methodName": "field", "fieldName": "user_id"}, "prepCol": {"methodName": "vh_pc_defaultv_create", "defaultValue": "every"}}
+CONFIG_LEVELS = json.dumps({
+    "nestLevels": [
+        {"groupBy": [_DEFAULT], "aggregate": [{"methodName": "vh_acm_count", "columnName": "n", "searchPath": {"methodName": "field", "fieldName": "value"}}]},
+        {"groupBy": [_DEFAULT, _TYPE], "aggregate": [{"methodName": "vh_acm_max", "columnName": "most", "searchPath": {"methodName": "field", "fieldName": "value"}}]},
+    ]
+})
+
+
+@query("""SELECT 'every' AS all_, event_type, grouping_id(event_type)::BIGINT AS level, CASE WHEN grouping_id(event_type) = 1 THEN count(*) END AS n,
+CASE WHEN grouping_id(event_type) = 0 THEN max(value) END AS most FROM events GROUP BY GROUPING SETS ((), (event_type))""")
+def cfg_levels(table):
+    """Two configured levels, each with an aggregate of its own, under a default value as key."""
+    out = config.run(CONFIG_LEVELS, table("events"))
+    return out.withColumn("level", F.col("level").cast("long")).withColumnRenamed("all", "all_")
+
+
 @query(BUCKET_SQL)
 def stream_nest(table):
     """The flagship nest fed by a stream until nothing is left, in complete mode."""

@@ -55,6 +55,24 @@ def knn_accuracy(table):
     return ml.accuracy(ml.knn_predict(test, train).join(test, "id"), "label").select(F.round("accuracy", 6).alias("accuracy"))
 
 
+@query(_KNN.replace("r.label,", "r.label / 4.0 AS label,").split(",\nn AS")[0] + " SELECT vec_id AS id, round(avg(label), 6) AS predicted FROM d WHERE k <= 3 GROUP BY vec_id")
+def knn_mean(table):
+    """Regression: the mean of the fractional labels of the three nearest."""
+    test, train = _parts(table)
+    out = ml.knn_mean(test, train.withColumn("label", F.col("label") / 4.0))
+    return out.select("id", F.round("predicted", 6).alias("predicted"))
+
+
+@query("""WITH s AS (SELECT l_returnflag AS flag, avg(l_quantity) AS m, stddev_pop(l_quantity) AS d FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_linenumber, round(exp(-((l_quantity - m) ** 2) / (2 * d * d)) / (sqrt(2 * pi()) * d), 9) AS p FROM lineitem JOIN s ON l_returnflag = flag""")
+def gauss_density(table):
+    """The density of each quantity among those of its flag."""
+    rows = table("lineitem")
+    stats = rows.groupBy(F.col("l_returnflag").alias("flag")).agg(F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("d"))
+    out = rows.join(stats, F.col("l_returnflag") == F.col("flag"))
+    return out.select("l_orderkey", "l_linenumber", F.round(ml.density(F.col("l_quantity"), F.col("m"), F.col("d")), 9).alias("p"))
+
+
 _FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _NB = (
     "WITH s AS (SELECT l_returnflag AS c, count(*) AS n, "

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import typed
 from ..operators import query as q
 from ..operators.query import Select
-from ..operators.tableset import Node, fetch, flattened
+from ..operators.tableset import Node, counted, fetch, flattened
 from ..sources.store import sql as raw_sql
 from .registry import query
 from .schema import Schema, TableSpec
@@ -123,12 +123,56 @@ def order_asc_desc(table):
     return table("orders").select("o_orderkey", "o_totalprice", F.row_number().over(w).alias("place"))
 
 
-@query(f"SELECT k, row_number() OVER (ORDER BY hi DESC, k)::INT AS place FROM {_SPANS} QUALIFY place <= 100")
+@query(f"SELECT k, row_number() OVER (PARTITION BY date_trunc('month', lo) ORDER BY hi DESC, k)::INT AS place FROM {_SPANS}")
 def order_range_bound(table):
-    """Order by a range's upper bound."""
+    """The place of every range by its upper bound, among those that begin in one month."""
     spans = table("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(typed.date_range(F.min("l_shipdate").cast("date"), F.max("l_shipdate").cast("date"), 3).alias("r"))
-    top = Select(spans).order(F.col("r.upper"), True).order("k").limit(100).frame_()
-    return top.select("k", F.row_number().over(Window.orderBy(F.desc("r.upper"), "k")).alias("place"))
+    return spans.select("k", F.row_number().over(Window.partitionBy(F.date_trunc("month", F.col("r.lower"))).orderBy(F.desc("r.upper"), "k")).alias("place"))
+
+
+@query(f"SELECT k, row_number() OVER (PARTITION BY o_custkey ORDER BY lo, hi, k)::INT AS place FROM {_SPANS} LEFT JOIN orders ON o_orderkey = k")
+def order_range_lower(table):
+    """The place of every range among its customer's, by lower, then upper bound."""
+    spans = table("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(typed.bounded(F.min("l_shipdate"), F.max("l_shipdate"), "date", 3).alias("r"))
+    rows = spans.join(table("orders").select("o_orderkey", "o_custkey"), F.col("k") == F.col("o_orderkey"), "left")
+    return rows.select("k", F.row_number().over(Window.partitionBy("o_custkey").orderBy(*typed.range_order(F.col("r")), "k")).alias("place"))
+
+
+_TIMES = "(SELECT user_id, event_type, min(ts) AS lo, max(ts) + INTERVAL 1 MICROSECOND AS hi FROM events GROUP BY ALL)"
+_WEEK = ("2024-01-08 00:00:00", "2024-01-15 00:00:00")
+
+
+def _times(table):
+    return table("events").groupBy("user_id", "event_type").agg(typed.bounded(F.min("ts"), F.max("ts"), "timestamp_ntz", 3).alias("r"))
+
+
+def _timed(table, test):
+    week = typed.bounded(F.lit(_WEEK[0]), F.lit(_WEEK[1]), "timestamp_ntz")
+    return _times(table).where(test(F.col("r"), week)).select("user_id", "event_type")
+
+
+@query(f"SELECT user_id, event_type FROM {_TIMES} WHERE lo < TIMESTAMP '{_WEEK[1]}' AND TIMESTAMP '{_WEEK[0]}' < hi")
+def range_ts_overlap(table):
+    """Ranges of times; both bounds are part of them."""
+    return _timed(table, typed.range_overlaps)
+
+
+@query(f"SELECT user_id, event_type FROM {_TIMES} WHERE lo <= TIMESTAMP '{_WEEK[0]}' AND TIMESTAMP '{_WEEK[1]}' <= hi")
+def range_ts_contains(table):
+    return _timed(table, typed.range_contains)
+
+
+@query(f"SELECT user_id, event_type, (epoch_us(hi) - epoch_us(lo))::BIGINT AS micros FROM {_TIMES}")
+def range_ts_size(table):
+    return _times(table).select("user_id", "event_type", typed.range_size(F.col("r"), "timestamp_ntz").alias("micros"))
+
+
+@query("SELECT p_brand, (max(p_size) + 1 - min(p_size))::BIGINT AS n, max(p_size) + 1 > 10 AND min(p_size) < 20 AS meets FROM part GROUP BY p_brand")
+def range_int(table):
+    """Ranges of integers: size, and overlap with [10, 20)."""
+    r = table("part").groupBy("p_brand").agg(typed.bounded(F.min("p_size"), F.max("p_size"), "int", 3).alias("r"))
+    ten = typed.bounded(F.lit(10), F.lit(20), "int")
+    return r.select("p_brand", typed.range_size(F.col("r"), "int").alias("n"), typed.range_overlaps(F.col("r"), ten).alias("meets"))
 
 
 @query(f"SELECT k, row_number() OVER (PARTITION BY o_custkey ORDER BY hi DESC, k)::INT AS place FROM {_SPANS} LEFT JOIN orders ON o_orderkey = k")
@@ -232,12 +276,8 @@ def tableset_nested(table):
 @query("""SELECT r_name, count(DISTINCT n_nationkey) AS nations, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders
 FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY r_name""")
 def tableset_counts(table):
-    """Counts at each level of the fetched tree, from nested arrays."""
-    nations = F.explode_outer("nations").alias("nation")
-    out = fetch(_tree(table)).select("r_name", F.size("nations").cast("long").alias("nations"), nations)
-    customers = F.coalesce(F.size("nation.customers"), F.lit(0)).cast("long")
-    orders = F.aggregate("nation.customers", F.lit(0).cast("long"), lambda s, c: s + F.size(c["orders"]))
-    return out.groupBy("r_name", "nations").agg(F.sum(customers).alias("customers"), F.sum(F.coalesce(orders, F.lit(0))).alias("orders"))
+    """Counts at each level of the tree, summed from the leaves up."""
+    return counted(_tree(table)).select("r_name", "nations", "customers", "orders")
 
 
 @query("SELECT n_name, c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey")
@@ -267,15 +307,15 @@ def row_diff(table):
     return q.changed_fields(table("customer"), _changed(table), ["c_custkey"]).select("c_custkey", F.array_join("changed", ",").alias("changed"))
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id < 50 UNION ALL SELECT event_id, user_id FROM events WHERE user_id < 100")
+@query("SELECT event_id, user_id FROM events UNION ALL SELECT o_orderkey, o_custkey FROM orders")
 def union_all(table):
-    e = table("events").select("event_id", "user_id")
-    return e.where("user_id < 50").unionByName(e.where("user_id < 100"))
+    """All events with all orders, duplicates kept; the names are those of the first."""
+    return table("events").select("event_id", "user_id").union(table("orders").select("o_orderkey", "o_custkey"))
 
 
 @query("SELECT event_id, user_id FROM events UNION ALL SELECT event_id, user_id FROM events")
 def union_all_whole(table):
-    """All events with all events; the other union is over subsets of few users."""
+    """All events with all events: every row twice."""
     e = table("events").select("event_id", "user_id")
     return e.unionByName(e)
 
@@ -300,6 +340,13 @@ def dml_update_changed(table):
     return q.updated(table("customer"), changes, ["c_custkey"]).select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS c_mktsegment, round(c_acctbal, 2) AS c_acctbal FROM customer")
+def dml_update_null(table):
+    """A field set to null: the changes name the fields that they set."""
+    changes = table("customer").where("c_custkey % 7 = 0").selectExpr("c_custkey", "CAST(NULL AS STRING) AS c_mktsegment", "CAST(NULL AS DOUBLE) AS c_acctbal", "array('c_mktsegment') AS fields")
+    return q.updated(table("customer"), changes, ["c_custkey"], "fields").select("c_custkey", "c_mktsegment", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
 @query("SELECT c_custkey FROM customer WHERE NOT (c_acctbal < 0)")
 def dml_delete(table):
     return q.deleted(table("customer"), F.col("c_acctbal") < 0).select("c_custkey")
