@@ -6,8 +6,10 @@ deterministic over byte classes, and states are merged until minimal. One pass
 over the bytes, from the last to the first, then marks for every rule all places
 where a match begins. From each such place that an earlier match has not used, the
 rule's own forward automaton, compiled the same way, runs to the longest end.
-Bytes are read in lanes: a lane ends at a byte after which the automaton is in the
-same state whatever came before, so lanes are exact and run side by side.
+Bytes are read in lanes of equal length, side by side. A lane begins in the state
+that some bytes before it lead to; where the lane before ends in another state after
+all, it is read again from that one, so the result is that of one pass whatever the
+text.
 """
 
 from __future__ import annotations
@@ -46,6 +48,9 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", lambda m: len(m) >= 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", lambda m: len(m) >= 20),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", lambda m: len(m) >= 39),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", lambda m: len(m) >= 24),
+    Rule("npm", r"npm_[A-Za-z0-9]+", lambda m: len(m) >= 40),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 BASE_KINDS = ("assign", "access", "hex")
@@ -240,51 +245,60 @@ def compile_rules(trees: list[tuple], anywhere: bool) -> Automaton:
 
 
 @cache
-def _compiled() -> tuple[Automaton, list[tuple[Automaton, list[int], bytes]], np.ndarray]:
-    """The scanner; per rule its forward automaton with a plain list as table; bytes that settle the scanner's state."""
+def _compiled() -> tuple[Automaton, list[tuple[Automaton, list[int], bytes]]]:
+    """The scanner; per rule its forward automaton with a plain list as table."""
     trees = [_tree(r) for r in RULES]
-    scan = compile_rules([_reversed(t) for t in trees], True)
-    table = scan.table.reshape(-1, scan.n_classes)
-    settles = (table == table[0]).all(axis=0)[scan.classes]
-    one = []
-    for t in trees:
-        a = compile_rules([t], False)
-        one.append((a, a.table.tolist(), a.classes.tobytes()))
-    return scan, one, settles
+    one = [compile_rules([t], False) for t in trees]
+    return compile_rules([_reversed(t) for t in trees], True), [(a, a.table.tolist(), a.classes.tobytes()) for a in one]
 
 
-#: Bytes read together, and lanes they are read in.
-CHUNK, LANES = 1 << 23, 2048
+#: Bytes read together, lanes they are read in at most, least bytes of a lane, and bytes before a lane that guess its first state.
+CHUNK, LANES, LEAST, BEFORE = 1 << 23, 2048, 512, 64
+
+
+def _run(table: np.ndarray, coded: np.ndarray, state: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """States of all lanes after coded[step, lane]; out gets those after every step."""
+    for t in range(len(coded)):
+        state = table[state + coded[t]]
+        if out is not None:
+            out[t] = state
+    return state
 
 
 def begins(data: np.ndarray) -> np.ndarray:
     """Per byte of data, the mask of rules of which a match begins there (masks of bytes 0xFF, between texts, are zero)."""
-    scan, _, settles = _compiled()
-    back = data[::-1]
-    n = len(back)
-    stops = np.flatnonzero(settles[back]) + 1
-    want = np.arange(1, LANES) * max(1, n // LANES)
-    at = np.searchsorted(stops, want[want < n])
-    starts = np.unique(np.concatenate(([0], stops[at[at < len(stops)]])))
-    starts = starts[starts < n]
-    ends = np.append(starts[1:], n)
-    # The state after a settling byte is the same everywhere; at the very end of the data it is the first.
-    state = np.where(starts > 0, scan.table[scan.classes[back[np.maximum(starts - 1, 0)]]], 0).astype(np.int64)
-    order = np.argsort(starts - ends, kind="stable")  # longest first, so that running lanes are a prefix
-    starts, lengths, state = starts[order], (ends - starts)[order], state[order]
-    coded = scan.classes[back].astype(np.int64)
-    out = np.zeros(n, dtype=np.int32)
-    running = len(starts) - np.searchsorted(lengths[::-1], np.arange(1, lengths[0] + 1)) if n else []
-    for t, k in enumerate(running):
-        where = starts[:k] + t
-        state[:k] = scan.table[state[:k] + coded[where]]
-        out[where] = state[:k]
-    return scan.accepts[out // scan.n_classes][::-1]
+    scan, _ = _compiled()
+    n = len(data)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    length = max(LEAST, -(-n // LANES))
+    lanes = -(-n // length)
+    back = np.full(lanes * length, 0xFF, dtype=np.uint8)
+    back[:n] = data[::-1]
+    coded = np.ascontiguousarray(scan.classes[back].reshape(lanes, length).T).astype(np.int32)
+    first = np.zeros(lanes, dtype=np.int32)
+    first[1:] = _run(scan.table, coded[-BEFORE:, :-1], np.zeros(lanes - 1, dtype=np.int32))
+    out = np.empty((length, lanes), dtype=np.int32)
+    ends = {None: _run(scan.table, coded, first, out)}
+    if (first[1:] != ends[None][:-1]).any():
+        # what each lane truly begins in, by the ends from every state that is met on the way
+        true = np.zeros(lanes, dtype=np.int32)
+        for i in range(lanes - 1):
+            at = int(true[i])
+            known = None if at == first[i] else at
+            if known not in ends:
+                ends[at] = _run(scan.table, coded, np.full(lanes, at, dtype=np.int32))
+            true[i + 1] = ends[known][i]
+        again = np.flatnonzero(true != first)
+        fixed = np.empty((length, len(again)), dtype=np.int32)
+        _run(scan.table, coded[:, again], true[again], fixed)
+        out[:, again] = fixed
+    return scan.accepts[out // scan.n_classes].T.ravel()[:n][::-1]
 
 
 def _spans_at(data: bytes, where: np.ndarray, masks: np.ndarray) -> list[tuple[str, int, int]]:
     """Byte spans of one text from the places where matches begin."""
-    _, one, _ = _compiled()
+    _, one = _compiled()
     found = []
     for i, rule in enumerate(RULES):
         automaton, table, classes = one[i]
