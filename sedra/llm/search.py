@@ -20,17 +20,28 @@ def whole_vectors(rows: DataFrame, vector: str, scale: float = 256.0) -> Column:
     """floor(scale * x) of each component as long; null where the vector is null or has a null or non-finite component."""
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return F.when(~bad, F.transform(x, lambda v: F.floor(v * scale)))
+    large = F.raise_error(F.lit("a component is beyond a long")).cast("bigint")
+    return F.when(~bad, F.transform(x, lambda v: F.when(F.abs(v * scale) >= 2.0**63, large).otherwise(F.floor(v * scale))))
+
+
+def _kind(most: int) -> type:
+    """The narrowest type that holds integers up to `most` in size; Python's own beyond a long."""
+    return next((t for t in (np.int32, np.int64) if most <= np.iinfo(t).max), object)
 
 
 def block_scores(queries: list[np.ndarray], candidates: list[np.ndarray]) -> np.ndarray:
-    """Dense scores [query, candidate]; vectors may differ in length, missing components are zero."""
-    scores = np.zeros((len(queries), len(candidates)), dtype=np.int64)
+    """Dense scores [query, candidate]; vectors may differ in length, missing components are zero.
+
+    The arrays are as wide as the largest components ask for, so that no score wraps around.
+    """
     width = max(map(len, candidates), default=0)
-    held = np.zeros((width, len(candidates)), dtype=np.int64)
+    most = [max((max(-int(v.min()), int(v.max())) for v in side if len(v)), default=0) for side in (queries, candidates)]
+    kind = _kind(max(most[0] * most[1] * width, *most))
+    scores = np.zeros((len(queries), len(candidates)), dtype=kind)
+    held = np.zeros((width, len(candidates)), dtype=kind)
     for i, c in enumerate(candidates):
         held[: len(c), i] = c
-    asked = np.zeros((len(queries), width), dtype=np.int64)
+    asked = np.zeros((len(queries), width), dtype=kind)
     for i, q in enumerate(queries):
         asked[i, : min(width, len(q))] = q[:width]
     for term in range(width):
@@ -55,16 +66,18 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def top_k(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, every: int = 50, block: int = 4096) -> DataFrame:
+def top_k(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, every: int = 50, block: int = 4096, query_block: int = 32768) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for each id divisible by `every`, against all rows of another id.
 
-    Rows with null id or unusable vectors take no part; repeated query rows ask
-    once; repeated candidates are candidates each. Blocks hold about `block` rows by
-    hash, so a group's score array is block * block numbers, in slices of queries.
+    Rows with null id or unusable vectors take no part; an id that is repeated among
+    the queries asks once, with its least vector; repeated candidates are candidates
+    each. A component or a returned score beyond a long raises. Candidates are dealt
+    to blocks of about `block` rows by hash and travel once for each query_block
+    queries; a group's score array is 256 * block numbers, for a slice of queries.
     """
     usable = written(rows.select(F.col(vec_id).cast("long").alias("id"), whole_vectors(rows, vector).alias("v")).where("id is not null and v is not null"), "vectors")
-    asked = usable.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id"])
-    n_blocks, q_blocks = groups_for(usable.count(), block), groups_for(asked.count(), block)
+    asked = usable.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
+    n_blocks, q_blocks = groups_for(usable.count(), block), groups_for(asked.count(), min(query_block, 8 * block))
     dealt = lambda side, n: F.pmod(F.xxhash64("id", F.lit(side)), F.lit(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("q", dealt("q", q_blocks)).withColumn("c", span(n_blocks)).withColumn("asks", F.lit(True))
@@ -80,7 +93,9 @@ def top_k(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
             for qid, row in zip(some["id"], block_scores(list(some["v"]), vectors)):
                 other = np.flatnonzero(ids != qid)
                 top = other[best(row[other], ids[other], k)]
-                found.append(pd.DataFrame({"query_id": qid, "vec_id": ids[top], "score": row[top]}))
+                if row.dtype == object and len(top) and max(map(abs, row[top])) >= 1 << 63:
+                    raise OverflowError(f"a score of query {qid} is beyond a long")
+                found.append(pd.DataFrame({"query_id": qid, "vec_id": ids[top], "score": row[top].astype(np.int64)}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     parts = left.unionByName(right).groupBy("q", "c").applyInPandas(score, "query_id long, vec_id long, score long")

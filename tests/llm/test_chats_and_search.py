@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from helpers import rows
 
 from sedra.llm import chats, search
@@ -58,6 +59,25 @@ def test_search(spark):
     assert search.top_k(df.where("vec_id in (50, 100, 101)")).count() == 4  # fewer candidates than k
 
 
+def test_search_of_large_components(spark):
+    """Scores that a long holds although their terms would wrap around narrower sums; what a long can't hold raises."""
+    import pytest
+
+    df = spark.createDataFrame([(0, [1e6, 1e6]), (1, [1e6, -1e6]), (2, [2e6, 1.0])], "vec_id long, embedding array<double>")
+    got = rows(search.top_k(df), "query_id", "vec_id", "score")
+    assert got == [(0, 1, 0), (0, 2, 256 * 10**6 * (512 * 10**6 + 256))]
+    for wrong in ([1e15, 1e15], [1e300, 1.0]):
+        with pytest.raises(Exception, match="beyond a long"):
+            search.top_k(spark.createDataFrame([(0, wrong), (1, wrong)], "vec_id long, embedding array<double>")).collect()
+    exact = search.block_scores([np.array([2**62, 2**62])], [np.array([2**62, -(2**62)]), np.array([1, 0])])
+    assert exact.tolist() == [[0, 2**62]]
+
+
+def test_repeated_query_asks_with_its_least_vector(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 0.5])], "vec_id long, embedding array<float>")
+    assert rows(search.top_k(df), "rank", "vec_id", "score") == [(1, 2, 256 * 128), (2, 1, 0)]
+
+
 def test_queries_and_sql_agree(spark):
     """Registered queries against their SQL on the smallest tables."""
     import duckdb
