@@ -167,15 +167,19 @@ def removed_words(hashes: np.ndarray, first: int, window: int, survivors: list[n
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", first: int = 10, window: int = 20) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept (the kept words joined by a space).
 
-    window must be first * 2^k. Null texts have no words. Null ids rank last and
-    count as one document. Rows with one id don't remove each other's words.
-    Windows are compared by 95 bits of hash, texts by MD5. Grams and windows are counted partially before every shuffle; what
-    comes back to a document is bounded by its own length.
+    window must be first * 2^k. Null texts have no words. Null ids rank last, in the
+    order of a hash of the text; those of equal texts are one document, so that no
+    document gathers all of them (ids of 2^63 - 2^60 or more would mix with them).
+    Rows with one id are one document and don't remove each other's words: what
+    comes back to a document is bounded by its own length. Windows are compared by
+    64 bits of hash within a text, and by 95 for who owns them; texts by MD5. Grams
+    and windows are counted partially before every shuffle.
     """
     levels = (window // first).bit_length() - 1
     if first << levels != window or levels < 1:
         raise ValueError("window must be first * 2^k with k >= 1")
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("body"), F.col(doc_id).alias("doc_id"))
+    nameless = F.lit(LAST) - F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col(text)), 4)
+    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), nameless).alias("doc"), F.col(text).alias("body"), F.col(doc_id).alias("doc_id"))
     known = []
     for level in range(levels):
         told = texts.select("doc", "body")
