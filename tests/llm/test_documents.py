@@ -236,7 +236,7 @@ def test_tokenizers_agree_on_all_code_points():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
-    texts = [f" a{c}b1{c}2 {c}  {c}.{c}" for c in map(chr, range(0, 0x30000, 7)) if not 0xD800 <= ord(c) <= 0xDFFF]
+    texts = [f" a{c}b1{c}2 {c}  {c}.{c}" for c in map(chr, range(0x33FFF)) if not 0xD800 <= ord(c) <= 0xDFFF]
     assert [encode(t) for t in texts] == [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -309,6 +309,20 @@ def test_mixing_meets_targets(docs_of):
     assert len(got) == 5
 
 
+def five_word_classes(texts):
+    """Classes of texts over pairs of five-word similarity 0.8 or more, by comparing every pair."""
+    sets = []
+    for t in texts:
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall(t or "")]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root = [root[j] if x == root[i] else x for x in root]
+    return set(root)
+
+
 def test_pipeline_by_hand(spark, docs, tmp_path):
     """All stages against plain Python on what each got."""
     import corpus_pipeline
@@ -319,8 +333,7 @@ def test_pipeline_by_hand(spark, docs, tmp_path):
     first = stages["quality rules"](spark, held, str(tmp_path)).persist()
     assert all(measures(r.text)[0] >= 20 for r in first.collect())
     second = stages["near duplicates"](spark, first, str(tmp_path)).persist()
-    parent = simhash.near_duplicates(first).collect()
-    assert second.count() == len({(r.component_id, None if r.component_id is not None else r.fp) for r in parent})
+    assert second.count() == len(five_word_classes([r.text for r in first.collect()]))
     third = stages["personal data"](spark, second, str(tmp_path)).persist()
     assert third.count() == second.count() and not any(pii_base(r.text) for r in third.collect())
     fourth = stages["mixture"](spark, third, str(tmp_path)).persist()
