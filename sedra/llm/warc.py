@@ -1,7 +1,7 @@
 """WARC archives: writing with Spark's text writer, reading back with boundary-chain verification.
 
-Archives are uncompressed WARC/1.1. They are read in splits, at every magic string:
-what lies between two magics is a segment. A segment that opens with a record header
+Archives are uncompressed; WARC/1.1 is written, 1.0 is read too. They are read in
+splits, at every magic string: what lies between two magics is a segment. A segment that opens with a record header
 is a candidate, and its Content-Length points to its successor. Magics also occur in
 payloads, so candidates are only trusted if a chain from the start of the file
 reaches them: pointers are jumped, doubling, in blocks of each file and then from
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .shared import scratch_path, written
 
 MAGIC, TRAILER = "WARC/1.1\r\n", "\r\n\r\n"
+#: What the versions' magics have in common, where archives are cut into segments.
+CUT = "WARC/1."
 DATE = "2000-01-01T00:00:00Z"  # a fixed value, so that archives of equal pages are equal
 
 
@@ -82,7 +84,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     records(with_originals(pages, least_bytes)).write.option("lineSep", TRAILER).text(path)
 
 
-_HEADER = re.compile(rb"((?:[A-Za-z-]+: [^\r\n]*\r\n)+)\r\n")
+_HEADER = re.compile(rb"[01]\r\n((?:[A-Za-z-]+: [^\r\n]*\r\n)+)\r\n")
 SEGMENTS = "file long, split long, at long, size long, next long, type string, id string, refers string, claimed string, payload_bytes long, digest string"
 
 
@@ -100,7 +102,7 @@ def _field(header: bytes, name: bytes) -> str | None:
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
     """Segments as text rows, in order within each split; files go by a 64-bit hash of their path."""
-    lines = spark.read.option("lineSep", MAGIC).text(path)
+    lines = spark.read.option("lineSep", CUT).text(path)
     return lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
 
 
@@ -113,7 +115,7 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, in
                 now, at = (file, split), 0
             data = value.as_py() or b""
             yield file, split, at, data
-            at += len(data) + len(MAGIC)
+            at += len(data) + len(CUT)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,17 +196,28 @@ def reachable(candidates: DataFrame, block: int = 1 << 26) -> DataFrame:
     return marked.groupBy("file", "block").applyInPandas(passed, "file long, at long")
 
 
-def read_archives(spark: SparkSession, path: str, block: int = 1 << 26) -> DataFrame:
+def _unreached(segments: DataFrame, candidates: DataFrame, chain: DataFrame) -> DataFrame:
+    """(file, bytes): how much of each file lies behind the end of its chain, or is missing before it."""
+    sizes = segments.groupBy("file").agg((F.sum(F.col("size") + len(CUT)) - len(CUT)).alias("all"))
+    ends = candidates.join(chain, ["file", "at"]).groupBy("file").agg(F.max("to").alias("end"))
+    return sizes.join(ends, "file", "left").select("file", F.abs(F.col("all") - F.coalesce("end", F.lit(0))).alias("bytes")).where("bytes > 0")
+
+
+def read_archives(spark: SparkSession, path: str, block: int = 1 << 26, strict: bool = True) -> DataFrame:
     """One row per record: record_type, record_id, refers_to_id, payload_bytes, payload_digest of its own block, claimed_digest.
 
-    Magic strings in payloads make no records. A chain that breaks ends its file's
-    records there.
+    Magic strings in payloads make no records. Where a chain breaks before the end of
+    its file (a truncated or foreign file), this raises with the bytes not reached;
+    with strict=False the file's records end there, and a truncated one has what
+    there is of it.
     """
     segments = written(_read(spark, path).mapInArrow(_segments, SEGMENTS), "segments")
-    # The text before the first magic of a file is no segment's; a segment at x follows the magic at x - len(MAGIC).
-    placed = segments.join(_bases(segments), ["file", "split"]).withColumn("at", F.col("base") + F.col("at") - len(MAGIC)).where("at >= 0")
-    candidates = placed.where("next is not null").select("file", "at", (F.col("at") + len(MAGIC) + F.col("next")).alias("to"))
+    # The text before the first magic of a file is no segment's; a segment at x follows the magic at x - len(CUT).
+    placed = segments.join(_bases(segments), ["file", "split"]).withColumn("at", F.col("base") + F.col("at") - len(CUT)).where("at >= 0")
+    candidates = placed.where("next is not null").select("file", "at", (F.col("at") + len(CUT) + F.col("next")).alias("to"))
     chain = written(reachable(candidates, block), "chain")
+    if strict and (lost := _unreached(segments, candidates, chain).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes")).first()).files:
+        raise ValueError(f"{lost.bytes} bytes of {lost.files} files are behind the end of their records' chain, or missing before it")
     found = placed.join(chain, ["file", "at"])
     columns = ["type", "id", "refers", "claimed", "payload_bytes", "digest"]
     whole = written(found.select("file", "at", F.col("next"), *columns), "records")
@@ -216,7 +229,7 @@ def read_archives(spark: SparkSession, path: str, block: int = 1 << 26) -> DataF
 
 def _bases(segments: DataFrame) -> DataFrame:
     """(file, split, base) of segments with file, split and size: where the rows of each split begin; one row per split."""
-    sizes = segments.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
+    sizes = segments.groupBy("file", "split").agg(F.sum(F.col("size") + len(CUT)).alias("bytes"))
     before = F.sum("bytes").over(Window.partitionBy("file").orderBy("split")) - F.col("bytes")
     return written(sizes.select("file", "split", before.alias("base")), "bases")
 
@@ -240,10 +253,10 @@ def _reassembled(spark: SparkSession, path: str, placed: DataFrame, chain: DataF
     files = written(broken.select("file").distinct(), "files")
     rows = _read(spark, path).mapInArrow(bodies, "file long, split long, near long, data binary").join(files, "file", "left_semi")
     rows = written(rows.withColumn("size", F.octet_length("data")), "bodies")
-    rows = rows.join(_bases(rows), ["file", "split"]).withColumn("at", F.col("base") + F.col("near") - len(MAGIC)).join(parts.select("file", "at", "owner"), ["file", "at"])
+    rows = rows.join(_bases(rows), ["file", "split"]).withColumn("at", F.col("base") + F.col("near") - len(CUT)).join(parts.select("file", "at", "owner"), ["file", "at"])
 
     def join(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        data = MAGIC.encode().join(frame.sort_values("at")["data"])
+        data = CUT.encode().join(frame.sort_values("at")["data"])
         m = _HEADER.match(data)
         length = int(_field(m[1], b"Content-Length"))
         size, digest = _block(m[1], data[m.end() : m.end() + length])

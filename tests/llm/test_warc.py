@@ -73,6 +73,25 @@ def test_splits_that_change_between_readings(spark, tmp_path, monkeypatch):
     assert got == sorted((f"<urn:page:{r[0]}>", r[1], r[2]) for r in expected(pages) if r[3] == "response")
 
 
+def test_broken_chains_raise(spark, tmp_path):
+    """A file cut within a record, one that is no archive, and one of the older version."""
+    record = EMBEDDED.replace("999", "1")
+    for name, text, count in (("cut", record + record[:-9], 1), ("foreign", "no archive at all", 0), ("more", record + "tail", 1), ("short", record + record[:-6], 2)):
+        (tmp_path / name).write_bytes(text.encode())
+        with pytest.raises(ValueError, match="behind the end"):
+            warc.read_archives(spark, f"file://{tmp_path}/{name}")
+        assert warc.read_archives(spark, f"file://{tmp_path}/{name}", strict=False).count() >= count
+    (tmp_path / "old").write_bytes((record + record.replace("WARC/1.1", "WARC/1.0") + record).encode())
+    got = warc.read_archives(spark, f"file://{tmp_path}/old").collect()
+    assert [(r.record_id, r.payload_bytes) for r in got] == [("<urn:page:1>", 0)] * 3  # no head of HTTP in these blocks
+
+
+def test_clashing_columns_and_long_pages(spark):
+    pages = [(1, "u", "x" * 3_000_000), (2, "u", "x" * 3_000_000), (3, "u", ("<p>" + EMBEDDED) * 5000)]
+    df = spark.createDataFrame([(*p, 1, "d", 2) for p in pages], "page_id long, url string, html string, original int, digest string, n int")
+    assert rows(warc.archived(df), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == expected(pages)
+
+
 def test_smaller_payloads_stay_responses(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     assert rows(warc.archived(df, least_bytes=5), "page_id", "record_type", "refers_to") == [(1, "response", None), (2, "response", None), (3, "revisit", 4), (4, "response", None)]
