@@ -70,9 +70,10 @@ def fingerprinted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", c
 class _Trie:
     """The sorted rows of several tries, and who hangs together so far."""
 
-    def __init__(self, keys: np.ndarray, listed: np.ndarray):
-        """listed: rows of tries whose links are all wanted, so that none of them count as hanging together."""
-        self.keys, self.root, self.ones, self.listed = keys, np.arange(len(keys)), {}, listed
+    def __init__(self, keys: np.ndarray, listed: np.ndarray, root: np.ndarray | None = None):
+        """listed: rows of tries whose links are all wanted, so that none of them count as hanging together; root: who does already."""
+        self.keys, self.ones, self.listed = keys, {}, listed
+        self.root = np.arange(len(keys)) if root is None else root
         self.links: list[tuple[np.ndarray, np.ndarray]] = []
         self.touch()
 
@@ -112,8 +113,19 @@ class _Trie:
                 root[:] = up
         self.touch()
 
-    def walk(self, start: int, lo: np.ndarray, hi: np.ndarray, max_bits: int) -> None:
-        """lo, hi: bounds of the tries in the rows; all rows of one agree in their first `start` bits."""
+    @staticmethod
+    def leaves(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of rows i < j of pairs of leaves, which hold more than one row where keys are equal."""
+        alo, ahi, blo, bhi = pairs[:4]
+        each = (ahi - alo) * (bhi - blo)
+        of = np.repeat(np.arange(len(each)), each)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+        wide = (bhi - blo)[of]
+        i, j = alo[of] + k // wide, blo[of] + k % wide
+        return i[i < j], j[i < j]
+
+    def walk(self, start: int, lo: np.ndarray, hi: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows (i, j) within max_bits, as they are met; lo, hi: bounds of the tries in the rows, all rows of one agree in their first `start` bits."""
         many = hi - lo > 1
         stack = [(start, np.stack([lo[many], hi[many], lo[many], hi[many], np.zeros(many.sum(), dtype=np.int64)]))]
         while stack:
@@ -125,7 +137,7 @@ class _Trie:
             if not pairs.shape[1]:
                 continue
             if depth == 64:
-                self.link(pairs[0], pairs[2])
+                yield self.leaves(pairs)
                 continue
             alo, ahi, blo, bhi, bits = pairs
             amid, bmid = self.split(depth, alo, ahi), self.split(depth, blo, bhi)
@@ -142,13 +154,15 @@ def walked(frame: pd.DataFrame, max_bits: int, whole: int = 0) -> tuple[np.ndarr
     """Rows (node, key, trie, lead) of several tries -> nodes (a, b) of links within max_bits, each of which joined two classes of its trie.
 
     Keys of one trie agree in their first `lead` bits; nodes of equal keys in one
-    trie are linked to the first of them. Tries of at most `whole` keys give all
+    trie are linked to the first of them. Tries of at most `whole` rows give all
     their links.
     """
     frame = frame.assign(key=frame["key"].to_numpy().view(np.uint64)).sort_values(["lead", "trie", "key", "node"])
     node, keys, names, lead = (frame[c].to_numpy() for c in ("node", "key", "trie", "lead"))
     apart = (names[1:] != names[:-1]) | (lead[1:] != lead[:-1])
     first = np.append(True, apart | (keys[1:] != keys[:-1]))
+    few = np.bincount(np.cumsum(np.append(0, apart)))
+    first |= np.repeat(few <= whole, few)
     run = np.cumsum(first) - 1
     same = node[~first], node[first][run[~first]]
     node, keys, names, lead = node[first], keys[first], names[first], lead[first]
@@ -158,11 +172,23 @@ def walked(frame: pd.DataFrame, max_bits: int, whole: int = 0) -> tuple[np.ndarr
     trie = _Trie(keys, np.repeat(hi - lo <= whole, hi - lo))
     for start in np.unique(lead).tolist():
         here = lead[lo] == start
-        trie.walk(start, lo[here], hi[here], max_bits)
+        for i, j in trie.walk(start, lo[here], hi[here], max_bits):
+            trie.link(i, j)
     a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *[x[k] for x in trie.links]]) for k in (0, 1))
     return np.append(same[0], node[a]), np.append(same[1], node[b])
 
 
+def across(frame: pd.DataFrame, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (key, trie, root) of several tries, in order of both -> every pair of rows within max_bits that have unlike roots, in parts."""
+    keys, names = frame["key"].to_numpy().view(np.uint64), frame["trie"].to_numpy()
+    root = np.unique(frame["root"].to_numpy(), return_inverse=True)[1]
+    edges = np.flatnonzero(names[1:] != names[:-1]) + 1
+    trie = _Trie(keys, np.zeros(len(keys), dtype=bool), root)
+    for i, j in trie.walk(0, np.append(0, edges), np.append(edges, len(keys)), max_bits):
+        apart = root[i] != root[j]
+        yield i[apart], j[apart]
+
+
 def _dealt(rows: DataFrame, lead: int, blocks: int) -> DataFrame:
     """(fp, key, trie), tries equal in their first `lead` bits -> each row once per block of the rest, rotated so that the block follows."""
     rest = 64 - lead

@@ -2,8 +2,14 @@
 
 import random
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from sedra.llm import simhash
+from sedra.llm import similar, simhash
+from sedra.llm.graph import components
+from sedra.llm.shared import written
 
 
 def five(text):
@@ -59,3 +65,44 @@ def test_large_group(spark, docs_of):
         data.append((len(data), " ".join(words), "a"))
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs_of(data), "").collect()} == kept_by_hand(data)
     assert corpus_pipeline.near_duplicates(spark, docs_of(data).limit(0), "").count() == 0
+
+
+def test_pairs_across_classes():
+    """All pairs of unlike roots within the budget, equal keys included, and none of one root."""
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    keys = rng.choice(centres, 400) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    frame = pd.DataFrame({"key": keys.view(np.int64), "trie": rng.integers(-2, 3, 400), "root": rng.integers(0, 9, 400)})
+    frame = frame.iloc[np.lexsort((keys, frame["trie"]))]
+    got = [(i, j) for a, b in simhash.across(frame, 3) for i, j in zip(a.tolist(), b.tolist())]
+    rows = list(frame.itertuples(index=False))
+    want = {
+        (i, j)
+        for j, y in enumerate(rows)
+        for i, x in enumerate(rows[:j])
+        if x.trie == y.trie and x.root != y.root and ((x.key ^ y.key) & (2**64 - 1)).bit_count() <= 3
+    }
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_large_tries_lose_no_link(spark, docs_of):
+    """Variants of one text, each with near copies, whichever tries count as large; the walk across classes alone finds all links, and none within a class."""
+    rng = random.Random(9)
+    base, data = [f"w{i}" for i in range(200)], []
+    for _ in range(60):
+        words = list(base)
+        for at in rng.sample(range(200), 5):
+            words[at] = f"x{rng.randint(0, 10**6)}"
+        for _ in range(2):
+            data.append((len(data), " ".join(words), "a"))
+            for at in rng.sample(range(200), 4):
+                words[at] = f"y{rng.randint(0, 10**6)}"
+    want, docs = kept_by_hand(data), docs_of(data)
+    for whole, pivots in ((1, 0), (32, 4)):
+        assert {r.doc_id for r in similar.deduplicated(docs, whole=whole, pivots=pivots).collect()} == want
+    table, prints = similar.sketched(docs)
+    rows, alone = written(similar.tries(prints), "tries"), spark.createDataFrame([], "node long, root long")
+    links = similar.links_across(rows, alone, similar.MAX_BITS, 1)
+    assert prints.count() - components(similar.compared(links, table, prints, "text")).count() == len(want)
+    roots = written(prints.select("node", F.lit(0).cast("long").alias("root")), "roots")
+    assert similar.links_across(rows, roots, similar.MAX_BITS, 1).isEmpty()
