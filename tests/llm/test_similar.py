@@ -102,7 +102,20 @@ def test_large_tries_lose_no_link(spark, docs_of):
         assert {r.doc_id for r in similar.deduplicated(docs, whole=whole, pivots=pivots).collect()} == want
     table, prints = similar.sketched(docs)
     rows, alone = written(similar.tries(prints), "tries"), spark.createDataFrame([], "node long, root long")
-    links = similar.links_across(rows, alone, similar.MAX_BITS, 1)
+    links = similar.links_across(rows, alone, table, prints, "text", similar.MAX_BITS, 1)
     assert prints.count() - components(similar.compared(links, table, prints, "text")).count() == len(want)
     roots = written(prints.select("node", F.lit(0).cast("long").alias("root")), "roots")
-    assert similar.links_across(rows, roots, similar.MAX_BITS, 1).isEmpty()
+    assert similar.links_across(rows, roots, table, prints, "text", similar.MAX_BITS, 1).isEmpty()
+
+
+def test_samples_keep_all_that_are_alike():
+    """Whole and cut samples of sets, from unlike to equal."""
+    rng = np.random.default_rng(4)
+    for n in (1, 20, 150, 3000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets = [np.unique(np.where(rng.random(n) < share, rng.integers(0, 1 << 63, n, dtype=np.uint64), base)) for share in np.linspace(0, 0.5, 40)]
+        samples = similar._Samples([np.unique((x >> np.uint64(32)).astype(np.uint32))[: similar.LEAST].tobytes() for x in sets])
+        i, j = np.triu_indices(40, 1)
+        likely = samples.likely(i, j)
+        near = np.array([similar.alike(sets[a], sets[b]) for a, b in zip(i, j)])
+        assert likely[near].all() and (n == 1 or likely.sum() < near.sum() * 2 + 40)
