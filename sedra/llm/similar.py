@@ -14,7 +14,8 @@ at most one for each node, and those to the PIVOTS nodes nearest to its centre,
 which copies mostly come. What these links, once compared, leave in unlike classes is
 walked again, and every pair within max_bits whose classes differ is compared too, by
 its least hashes and then by its texts: no pair of a trie is left out unless its texts
-are in one class already.
+are in one class already. A trie that is too large for one task is dealt as all pairs of
+its chunks, so that this holds for it too.
 """
 
 from __future__ import annotations
@@ -38,10 +39,10 @@ BANDS, ROWS = 32, 5
 MAX_BITS = 18
 #: Nodes of a trie that gives all its links at once, and central nodes of a larger one that all others are first compared with.
 WHOLE, PIVOTS = 32, 4
-#: Bands that a trie is dealt by at most, and nodes of a trie that is not dealt again.
-DEALS, TRIE_ROWS = 3, 1 << 16
+#: Nodes of a trie that is not dealt as pairs of chunks.
+TRIE_ROWS = 1 << 16
 #: Least hashes that tell two nodes apart before their texts are compared, and the similarity that they must show: of whole sets,
-#: short of 0.8 by what equal 32-bit hashes can change; of cut ones by more than five standard deviations.
+#: short of 0.8 by what equal 32-bit hashes can change; of cut ones of unknown size by more than five standard deviations.
 LEAST, NEARLY, ROUGHLY = 1024, 0.79, 0.73
 _RANDOM = np.random.default_rng(SEED)
 _FLIPS = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
@@ -117,26 +118,24 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _dealt(prints: DataFrame, trie_rows: int) -> DataFrame:
-    """(node, n, band, fp, trie, held): the nodes by bands; tries of over trie_rows nodes are dealt again by pairs and triples of bands."""
+    """(node, n, band, fp, trie, held): the nodes by bands; a trie of over trie_rows nodes is dealt as pairs of its chunks.
+
+    Its nodes fall into chunks of half of trie_rows by hash, and each two chunks are a
+    trie, so that every two nodes still meet, however many agree in a band.
+    """
     rows = prints.select("node", "n", "fp", F.posexplode("bands").alias("band", "trie"))
-    ready, deals = None, 1
-    while True:
-        held = written(rows.groupBy("trie").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held")
-        hot = held.where(F.col("held") > trie_rows).select("trie")
-        if deals == DEALS or hot.isEmpty():
-            # shuffled at every size: only the least inputs could broadcast the tries
-            out = rows.join(held.hint("merge"), "trie")
-            return ready.unionByName(out) if ready else out
-        cool = rows.join(held.where(F.col("held") <= trie_rows).hint("merge"), "trie")
-        ready = ready.unionByName(cool) if ready else cool
-        again = rows.join(hot, "trie", "left_semi").join(prints.select("node", "bands"), "node")
-        again = again.select("node", "n", "fp", F.col("trie").alias("of"), F.col("band").alias("after"), F.posexplode("bands").alias("band", "key")).where("band > after")
-        rows = written(again.select("node", "n", "fp", "band", F.xxhash64("of", "key").alias("trie")), "dealt")
-        deals += 1
+    held = written(rows.groupBy("trie").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held")
+    # shuffled at every size: only the least inputs could broadcast the tries
+    rows = rows.join(held.hint("merge"), "trie")
+    chunks = F.ceil(F.col("held") / F.lit(max(1, trie_rows // 2)))
+    mine = F.pmod(F.xxhash64("node"), chunks)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda c: c != mine)
+    pairs = F.transform(others, lambda c: F.xxhash64("trie", F.least(c, mine), F.greatest(c, mine)))
+    return rows.withColumn("trie", F.explode(F.when(F.col("held") > trie_rows, pairs).otherwise(F.array("trie"))))
 
 
 def tries(prints: DataFrame, trie_rows: int = TRIE_ROWS) -> DataFrame:
-    """Nodes (node, n, fp, bands) -> (node, n, trie, key, held): the fingerprint turned so that each band starts at bits of its own, and how many the trie holds."""
+    """Nodes (node, n, fp, bands) -> (node, n, trie, key, held): the fingerprint turned so that each band starts at bits of its own, and how many agree in the band."""
     turned = F.expr("(fp << 2 * band) | shiftrightunsigned(fp, 64 - 2 * band)")
     key = F.when(F.col("band") == 0, F.col("fp")).otherwise(turned)
     return _dealt(prints, trie_rows).select("node", "n", "trie", key.alias("key"), "held")
@@ -178,7 +177,9 @@ def first_links(rows: DataFrame, max_bits: int, whole: int, pivots: int, group_r
 class _Samples:
     """The least hashes of several nodes, and which pairs of nodes they let be alike."""
 
-    def __init__(self, least: list[bytes]):
+    def __init__(self, least: list[bytes], held: np.ndarray | None = None):
+        """held: of how many shingles each sample is; where given, a cut pair goes only if no rest of the two sets could make it alike."""
+        self.held = held
         parts = [np.frombuffer(x, dtype=np.uint32) for x in least]
         self.size = np.array([len(x) for x in parts], dtype=np.int64)
         self.start = np.cumsum(self.size) - self.size
@@ -200,10 +201,14 @@ class _Samples:
         top = min(x[-1] for x in (a, b) if len(x) == LEAST)
         a, b = a[a <= top], b[b <= top]
         both = len(np.intersect1d(a, b, assume_unique=True))
-        return both >= ROUGHLY * (len(a) + len(b) - both)
+        if self.held is None:
+            return both >= ROUGHLY * (len(a) + len(b) - both)
+        n, m = int(self.held[one]), int(self.held[other])
+        most = both + min(n - len(a), m - len(b))
+        return most >= NEARLY * (n + m - most)
 
     def likely(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether pairs may be alike: by all hashes, or, beyond LEAST of them, by those below the lower of the last ones."""
+        """Whether pairs may be alike: by all hashes, or, beyond LEAST of them, by those up to the lower of the last ones and all that may lie above."""
         out = np.zeros(len(i), dtype=bool)
         cut = (self.size[i] == LEAST) | (self.size[j] == LEAST)
         for k in np.flatnonzero(cut):
@@ -227,7 +232,8 @@ def links_across(rows: DataFrame, roots: DataFrame, table: DataFrame, prints: Da
 
     Of those, the pairs go that the least LEAST hashes of their shingles tell apart.
     Texts of fewer shingles are told apart by all of them, so that a family of texts
-    that nearly reach the similarity is not joined pair by pair with its texts.
+    that nearly reach the similarity is not joined pair by pair with its texts; longer
+    ones go where even a rest that is equal as far as it can be would not do.
     """
     large = rows.where(F.col("held") > whole).select("node", "n", "trie", "key")
     large = large.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -242,7 +248,7 @@ def links_across(rows: DataFrame, roots: DataFrame, table: DataFrame, prints: Da
         frame = pd.concat(frames, ignore_index=True)
         frame = frame.iloc[np.lexsort((frame["key"].to_numpy().view(np.uint64), frame["trie"].to_numpy()))]
         node, n = frame["node"].to_numpy(), frame["n"].to_numpy()
-        samples = _Samples(frame["least"].tolist())
+        samples = _Samples(frame["least"].tolist(), n)
         for i, j in simhash.across(frame, max_bits):
             fits = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
             i, j = i[fits], j[fits]
@@ -302,8 +308,8 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ma
     Null ids rank last; null and blank texts have no shingle and are one class; texts
     of fewer than five words are alike only if their words are equal. Sets are told
     apart by 64 bits of hash. An empty table gives an empty table. Copies of one text
-    are one node, however many; a family of unlike texts that agree in DEALS bands is
-    walked in one task, which holds 24 bytes of each.
+    are one node, however many; of a family of unlike texts that agree in a band, a task
+    holds trie_rows at once, and there are as many tasks as pairs of its chunks.
     """
     table, prints = sketched(docs, text, doc_id)
     roots = classes_of(table, prints, text, max_bits, trie_rows, whole, pivots)

@@ -119,3 +119,38 @@ def test_samples_keep_all_that_are_alike():
         likely = samples.likely(i, j)
         near = np.array([similar.alike(sets[a], sets[b]) for a, b in zip(i, j)])
         assert likely[near].all() and (n == 1 or likely.sum() < near.sum() * 2 + 40)
+
+
+def test_every_pair_of_an_overfull_trie_meets(spark):
+    """Nodes that agree in one band only, more than a trie may hold: each two are in one trie, and no trie holds much more than it may."""
+    data = [(i, 100, i, [-1] + [1000 * i + k for k in range(1, 32)]) for i in range(100)]
+    prints = spark.createDataFrame(data, "node long, n long, fp long, bands array<long>")
+    groups = {}
+    for r in similar.tries(prints, trie_rows=20).collect():
+        groups.setdefault(r.trie, set()).add(r.node)
+    assert {(a, b) for g in groups.values() for a in g for b in g if a < b} == {(a, b) for b in range(100) for a in range(b)}
+    assert max(map(len, groups.values())) < 50
+
+
+def test_overfull_tries_lose_no_link(spark, docs_of):
+    """Pairs of long texts that are alike, all with one passage: more than a trie may hold, and few agree in a second band."""
+    rng = random.Random(10)
+    data = []
+    for _ in range(40):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(60)] + [f"c{i}" for i in range(60)]
+        for _ in range(2):
+            data.append((len(data), " ".join(words), "a"))
+            words[rng.randint(10, 50)] = f"y{rng.randint(0, 10**6)}"
+            words[rng.randint(70, 110)] = f"y{rng.randint(0, 10**6)}"
+    want = kept_by_hand(data)
+    assert {r.doc_id for r in similar.deduplicated(docs_of(data), trie_rows=4).collect()} == want and len(want) < len(data)
+
+
+def test_cut_samples_are_never_dropped_by_an_estimate():
+    """Sets that are alike while their least 1024 hashes are not; unlike ones still go."""
+    sets = [2 * np.arange(1, 3001), 2 * np.arange(1, 3001), 2 * np.arange(5000, 8000)]
+    sets[1][:1024:4] += 1
+    sets = [x.astype(np.uint64) << np.uint64(32) for x in sets]
+    samples = similar._Samples([(x >> np.uint64(32)).astype(np.uint32)[: similar.LEAST].tobytes() for x in sets], np.full(3, 3000))
+    assert similar.alike(sets[0], sets[1])
+    assert samples.likely(np.array([0, 0, 1]), np.array([1, 2, 2])).tolist() == [True, False, False]
