@@ -26,14 +26,74 @@ def _block_distances(kind: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt((apart * apart).sum(axis=2)) if kind == "euclid" else np.abs(apart).sum(axis=2)
 
 
-def neighbours(test: DataFrame, train: DataFrame, k: int = 3, kind: str = "euclid", block: int = 8192, test_block: int = 65536) -> DataFrame:
+def _first_copies(vectors: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the first k of each set of equal vectors, in order."""
+    rows = np.ascontiguousarray(vectors)
+    if not rows.shape[1]:
+        return np.arange(min(k, len(rows)))
+    of = np.unique(rows.view(f"V{rows.itemsize * rows.shape[1]}").ravel(), return_inverse=True)[1]
+    return np.sort(np.lexsort((np.arange(len(of)), of))[_ranks(np.sort(of)) < k])
+
+
+def _ranks(groups: np.ndarray) -> np.ndarray:
+    """The place of each row within its run of equal values."""
+    first = np.append(True, groups[1:] != groups[:-1])[: len(groups)]
+    at = np.arange(len(groups))
+    return at - np.maximum.accumulate(np.where(first, at, 0))
+
+
+def _near(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), among which are the k rows of c nearest to each row of q, with all that tie with them in nine digits.
+
+    c has two more columns, of ones and of its squared lengths, so that squared
+    distances are one matrix product. `slack` is more than its rounding
+    and that of the plain formula, so that a pair beyond the bound can't be among the nearest.
+    """
+    qq = (q * q).sum(axis=1)
+    slack = 8 * (q.shape[1] + 8) * np.finfo(float).eps * (qq + c[:, -1].max())
+    apart = np.column_stack([-2 * q, qq, np.ones(len(q))]) @ c.T
+    some = apart[:, : max(2048, k)]
+    if some.shape[1] < k:
+        return tuple(x.ravel() for x in np.indices(apart.shape))
+    edge = np.maximum(np.partition(some, k - 1, axis=1)[:, k - 1], 0)
+    bound = (np.sqrt(edge + slack) + 2e-9) ** 2 * (1 + 1e-12) + slack
+    at = np.flatnonzero(apart <= bound[:, None])
+    return np.divmod(at, len(c))
+
+
+def _nearest(kind: str, q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in q and c and rounded distances of the k nearest of each row of q, ties to the first in c."""
+    with np.errstate(over="ignore"):
+        safe = kind == "euclid" and np.isfinite(64 * (q * q).sum(axis=1).max() + 64 * (c * c).sum(axis=1).max())
+    found = []
+    step = max(1, (1 << 21) // len(c)) if safe else 16
+    wide = np.column_stack([c, np.ones(len(c)), (c * c).sum(axis=1)]) if safe else c
+    for at in range(0, len(q), step):
+        few = q[at : at + step]
+        if safe:
+            i, j = _near(few, wide, k)
+            d = [np.sqrt(((few[i[x : x + 65536]] - c[j[x : x + 65536]]) ** 2).sum(axis=1)) for x in range(0, len(i), 65536)]
+            d = np.concatenate(d).round(9)
+            order = np.lexsort((j, d, i))
+            order = order[_ranks(i[order]) < k]
+            i, j, d = i[order], j[order], d[order]
+        else:
+            d = _block_distances(kind, few, c).round(9)
+            j = np.argsort(d, axis=1, kind="stable")[:, :k]
+            i, j, d = np.repeat(np.arange(len(few)), j.shape[1]), j.ravel(), np.take_along_axis(d, j, axis=1).ravel()
+        found.append((i + at, j, d))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def neighbours(test: DataFrame, train: DataFrame, k: int = 3, kind: str = "euclid", block: int = 32768, test_block: int = 32768) -> DataFrame:
     """(id, rank, train_id, label, dist): the k nearest rows of train for each row of test; both have id, v, label.
 
     Labels keep their type. Null vectors and those with a null or non-finite
     component take no part, and vectors are compared with those of their length
-    only. Train rows are dealt to blocks and travel once for each test_block test
-    rows; the best k of a block are kept for each test row, then merged. Ties in
-    distance, rounded to nine digits, go to the smaller train id.
+    only. Each block of train meets each block of test in one group; the best k of a
+    group are kept for each test row, then merged. All pairs are judged, Euclidean ones
+    by a matrix product first, and by the plain formula where it leaves them near. Ties
+    in distance, rounded to nine digits, go to the smaller train id.
     """
     whole = lambda v: F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = lambda df: df.withColumn("v", F.col("v").cast("array<double>")).where(F.col("v").isNotNull() & whole(F.col("v")))
@@ -48,16 +108,14 @@ def neighbours(test: DataFrame, train: DataFrame, k: int = 3, kind: str = "eucli
         asks, found = frame["asks"].to_numpy(), []
         lengths = frame["v"].map(len).to_numpy()
         for length in np.unique(lengths[asks]):
-            q, c = frame[asks & (lengths == length)], frame[~asks & (lengths == length)].sort_values("id")
+            q, c = frame[asks & (lengths == length)], frame[~asks & (lengths == length)].sort_values("id", kind="stable")
             if not len(c):
                 continue
-            cv, ids, labels = np.stack(c["v"].to_numpy()), c["id"].to_numpy(), c["label"].to_numpy()
-            for at in range(0, len(q), 16):
-                some = q.iloc[at : at + 16]
-                d = _block_distances(kind, np.stack(some["v"].to_numpy()), cv).round(9)
-                for qid, row in zip(some["id"], d):
-                    top = np.argsort(row, kind="stable")[:k]
-                    found.append(pd.DataFrame({"id": qid, "train_id": ids[top], "label": labels[top], "dist": row[top]}))
+            cv = np.stack(c["v"].to_numpy())
+            kept = _first_copies(cv, k)
+            i, j, d = _nearest(kind, np.stack(q["v"].to_numpy()), cv[kept], k)
+            ids, labels = c["id"].to_numpy(), c["label"].to_numpy()
+            found.append(pd.DataFrame({"id": q["id"].to_numpy()[i], "train_id": ids[kept[j]], "label": labels[kept[j]], "dist": d}))
         return pd.concat(found) if found else pd.DataFrame({"id": [], "train_id": [], "label": [], "dist": []})
 
     parts = left.unionByName(right).groupBy("q", "c").applyInPandas(best, f"id long, train_id long, label {label}, dist double")

@@ -1,7 +1,9 @@
 """Edges of streams, configuration, table lookup, neighbours, updates and ranges."""
 
 import json
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,26 @@ def test_neighbours_of_odd_vectors_and_labels(spark):
     assert sorted(many.collect()) == sorted(one.collect())
 
 
+def test_nearest_by_products_are_those_by_the_plain_formula():
+    """Random, equal, far and offset vectors, ties in nine digits, components whose squares overflow; in a time that judging pairs one by one takes many times over."""
+    rng = np.random.default_rng(5)
+    for scale, offset, digits in ((1.0, 0.0, 16), (1.0, 0.0, 0), (1e-5, 0.0, 16), (1e-6, 1e3, 16), (1e200, 0.0, 16), (0.0, 1.0, 16)):
+        q, c = ((rng.standard_normal((n, 5)) * scale + offset).round(digits) for n in (60, 5000))
+        c[1000:1100] = c[:100]
+        for k in (1, 3, 7000):
+            i, j, d = ml._nearest("euclid", q, c, k)
+            with np.errstate(over="ignore"):
+                want = ml._block_distances("euclid", q, c).round(9)
+            top = np.argsort(want, axis=1, kind="stable")[:, :k]
+            assert np.array_equal(i, np.repeat(np.arange(60), top.shape[1])) and np.array_equal(j, top.ravel())
+            assert np.array_equal(d, np.take_along_axis(want, top, axis=1).ravel())
+    assert ml._first_copies(np.array([[1.0], [2.0], [1.0], [1.0], [2.0]]), 2).tolist() == [0, 1, 2, 4]
+    q, c = rng.standard_normal((4000, 64)), rng.standard_normal((20000, 64))
+    start = time.process_time()
+    ml._nearest("euclid", q, c, 3)
+    assert time.process_time() - start < 10
+
+
 def test_update_to_null(spark):
     t = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "n", 3)], "k int, v string, w int")
     changes = spark.createDataFrame([(1, None, 9, ["v"]), (2, None, 5, ["w", "v"]), (None, "z", 0, ["v"])], "k int, v string, w int, fields array<string>")
