@@ -4,6 +4,7 @@ import json
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,25 @@ def test_nearest_by_products_are_those_by_the_plain_formula():
     assert time.process_time() - start < 10
 
 
+def _near_rows(spark, n=4500):
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((n, 32)).round(1)
+    v[::7] = v[0]
+    label = rng.integers(0, 4, n)
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "v": v.tolist(), "label": label}), "id long, v array<double>, label int")
+    ask, held = np.arange(0, n, 3), np.flatnonzero(np.arange(n) % 3)
+    near = [held[np.argsort(np.sqrt(((v[held] - v[i]) ** 2).sum(axis=1)).round(9), kind="stable")[:3]] for i in ask]
+    return rows.where("id % 3 = 0"), rows.where("id % 3 <> 0"), label, dict(zip(ask.tolist(), near))
+
+
+def test_mean_of_the_nearest_in_several_groups(spark):
+    """Many equal vectors, and groups whose nearest are merged; by plain numpy."""
+    test, train, label, near = _near_rows(spark)
+    found = ml.neighbours(test, train, block=1000, test_block=700).groupBy("id").agg(F.avg("label").alias("m"), F.collect_set("train_id").alias("t"))
+    assert {r.id: set(r.t) for r in found.collect()} == {i: set(x.tolist()) for i, x in near.items()}
+    assert {r.id: round(r.predicted, 9) for r in ml.knn_mean(test, train).collect()} == {i: round(label[x].mean(), 9) for i, x in near.items()}
+
+
 def test_update_to_null(spark):
     t = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "n", 3)], "k int, v string, w int")
     changes = spark.createDataFrame([(1, None, 9, ["v"]), (2, None, 5, ["w", "v"]), (None, "z", 0, ["v"])], "k int, v string, w int, fields array<string>")
