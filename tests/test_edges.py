@@ -119,6 +119,14 @@ def test_mean_of_the_nearest_in_several_groups(spark):
     assert {r.id: round(r.predicted, 9) for r in ml.knn_mean(test, train).collect()} == {i: round(label[x].mean(), 9) for i, x in near.items()}
 
 
+def test_accuracy_of_the_nearest(spark):
+    """Hits of majority labels, ties to the greatest; by plain numpy."""
+    test, train, label, near = _near_rows(spark, 1500)
+    top = lambda x: max(range(4), key=lambda c: ((label[x] == c).sum(), c))
+    got = ml.accuracy(ml.knn_predict(test, train).join(test, "id"), "label").first().accuracy
+    assert abs(got - np.mean([top(x) == label[i] for i, x in near.items()])) < 1e-12
+
+
 def test_update_to_null(spark):
     t = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "n", 3)], "k int, v string, w int")
     changes = spark.createDataFrame([(1, None, 9, ["v"]), (2, None, 5, ["w", "v"]), (None, "z", 0, ["v"])], "k int, v string, w int, fields array<string>")
