@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,83 +42,129 @@ def _ranks(groups: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(first, at, 0))
 
 
-def _near(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), among which are the k rows of c nearest to each row of q, with all that tie with them in nine digits.
+def _within(scores: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of the scores up to the bound of their row; quick where they are few."""
+    bits = np.packbits(scores <= bound[:, None])
+    some = np.flatnonzero(bits)
+    at, bit = np.nonzero(np.unpackbits(bits[some, None], axis=1))
+    return np.divmod(some[at] * 8 + bit, scores.shape[1])
 
-    c has two more columns, of ones and of its squared lengths, so that squared
-    distances are one matrix product. `slack` is more than its rounding
-    and that of the plain formula, so that a pair beyond the bound can't be among the nearest.
-    """
-    qq = (q * q).sum(axis=1)
-    slack = 8 * (q.shape[1] + 8) * np.finfo(float).eps * (qq + c[:, -1].max())
-    apart = np.column_stack([-2 * q, qq, np.ones(len(q))]) @ c.T
-    some = apart[:, : max(2048, k)]
-    if some.shape[1] < k:
-        return tuple(x.ravel() for x in np.indices(apart.shape))
-    edge = np.maximum(np.partition(some, k - 1, axis=1)[:, k - 1], 0)
-    bound = (np.sqrt(edge + slack) + 2e-9) ** 2 * (1 + 1e-12) + slack
-    at = np.flatnonzero(apart <= bound[:, None])
-    return np.divmod(at, len(c))
 
+def _plain(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the pairs (i, j) by the plain formula, rounded."""
+    step = max(1, (1 << 20) // max(1, q.shape[1]))
+    d = [np.sqrt(((q[i[x : x + step]] - c[j[x : x + step]]) ** 2).sum(axis=1)) for x in range(0, len(i), step)]
+    return np.concatenate(d or [np.empty(0)]).round(9)
 
-def _nearest(kind: str, q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions in q and c and rounded distances of the k nearest of each row of q, ties to the first in c."""
-    with np.errstate(over="ignore"):
-        safe = kind == "euclid" and np.isfinite(64 * (q * q).sum(axis=1).max() + 64 * (c * c).sum(axis=1).max())
-    found = []
-    step = max(1, (1 << 21) // len(c)) if safe else 16
-    wide = np.column_stack([c, np.ones(len(c)), (c * c).sum(axis=1)]) if safe else c
+
+def _near(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `_nearest` returns for Euclidean distances whose squares don't overflow.
+
+    Squared distances of a slice of c are one matrix product, c having two more columns, of
+    ones and of its squared lengths, in single precision first; where that leaves
+    too many pairs near, in double. `slack` is more than the rounding of the product and of the
+    plain formula, so that a pair beyond the bound can't be among the nearest, nor tie with
+    them in nine digits. The pairs within it are judged by the plain formula.
+    """
+    found, slice_ = [], max(2048, k)
+    step = max(1, (1 << 20) // slice_)
+    double = np.column_stack([c, np.ones(len(c)), (c * c).sum(axis=1)])
+    wide = {np.float64: double}
     for at in range(0, len(q), step):
         few = q[at : at + step]
-        if safe:
-            i, j = _near(few, wide, k)
-            d = [np.sqrt(((few[i[x : x + 65536]] - c[j[x : x + 65536]]) ** 2).sum(axis=1)) for x in range(0, len(i), 65536)]
-            d = np.concatenate(d).round(9)
+        squares = (few * few).sum(axis=1)
+        asked, sums = np.column_stack([-2 * few, squares, np.ones(len(few))]), squares + double[:, -1].max()
+        kind = np.float32 if sums.max() < 1e30 else np.float64
+        i = j = np.empty(0, dtype=np.int64)
+        d = most = np.empty(0)
+        for x in range(0, len(c), slice_):
+            while True:
+                if kind not in wide:
+                    wide[kind] = double.astype(kind)
+                slack = 8 * (q.shape[1] + 8) * np.finfo(kind).eps * sums
+                scores = asked.astype(kind) @ wide[kind][x : x + slice_].T
+                if x:
+                    edge = most
+                elif scores.shape[1] < k:
+                    edge = np.full(len(few), np.inf)
+                else:
+                    edge = np.sqrt(np.maximum(np.partition(scores, k - 1, axis=1)[:, k - 1], 0) + slack)
+                bound = np.nextafter(((edge + 2e-9) ** 2 * (1 + 1e-12) + slack).astype(kind), kind(np.inf))
+                n, m = _within(scores, bound)
+                if kind is np.float64 or len(n) <= 2 * k * len(few) + scores.size // 16:
+                    break
+                kind = np.float64
+            i, j, d = np.append(i, n), np.append(j, m + x), np.append(d, _plain(few, c[x : x + slice_], n, m))
             order = np.lexsort((j, d, i))
             order = order[_ranks(i[order]) < k]
             i, j, d = i[order], j[order], d[order]
-        else:
-            d = _block_distances(kind, few, c).round(9)
-            j = np.argsort(d, axis=1, kind="stable")[:, :k]
-            i, j, d = np.repeat(np.arange(len(few)), j.shape[1]), j.ravel(), np.take_along_axis(d, j, axis=1).ravel()
+            most = d[k - 1 :: k]
         found.append((i + at, j, d))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _nearest(kind: str, q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in q and c and rounded distances of the k nearest of each row of q, ties to the first in c."""
+    with np.errstate(over="ignore"):
+        if kind == "euclid" and np.isfinite(64 * (q * q).sum(axis=1).max() + 64 * (c * c).sum(axis=1).max()):
+            return _near(q, c, k)
+    found = []
+    for at in range(0, len(q), 16):
+        d = _block_distances(kind, q[at : at + 16], c).round(9)
+        j = np.argsort(d, axis=1, kind="stable")[:, :k]
+        found.append((np.repeat(np.arange(at, at + len(d)), j.shape[1]), j.ravel(), np.take_along_axis(d, j, axis=1).ravel()))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _blocks(n_test: int, n_train: int, test_block: int, block: int, cores: int) -> tuple[int, int]:
+    """How many blocks either side is dealt to: as few as the bounds allow, more where cores would idle over groups of many pairs."""
+    q, c = max(1, -(-n_test // test_block)), max(1, -(-n_train // block))
+    want = min(2 * cores, n_test * n_train >> 25)
+    more = math.isqrt(max(0, want - 1) // (q * c)) + 1
+    return q * more, c * more
+
+
 def neighbours(test: DataFrame, train: DataFrame, k: int = 3, kind: str = "euclid", block: int = 32768, test_block: int = 32768) -> DataFrame:
     """(id, rank, train_id, label, dist): the k nearest rows of train for each row of test; both have id, v, label.
 
-    Labels keep their type. Null vectors and those with a null or non-finite
+    Labels keep their type and value. Null vectors and those with a null or non-finite
     component take no part, and vectors are compared with those of their length
-    only. Each block of train meets each block of test in one group; the best k of a
+    only. Each block of train meets each block of test in one group and task; the best k of a
     group are kept for each test row, then merged. All pairs are judged, Euclidean ones
     by a matrix product first, and by the plain formula where it leaves them near. Ties
-    in distance, rounded to nine digits, go to the smaller train id.
+    in distance, rounded to nine digits, go to the smaller train id. Arrays of float
+    travel as such; distances are of doubles.
     """
     whole = lambda v: F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = lambda df: df.withColumn("v", F.col("v").cast("array<double>")).where(F.col("v").isNotNull() & whole(F.col("v")))
+    single = all(df.schema["v"].dataType.simpleString() == "array<float>" for df in (test, train))
+    usable = lambda df: df.withColumn("v", F.col("v").cast("array<float>" if single else "array<double>")).where(F.col("v").isNotNull() & whole(F.col("v")))
+    n_test, n_train = _blocks(test.count(), train.count(), test_block, block, test.sparkSession.sparkContext.defaultParallelism)
     test, train = usable(test), usable(train)
-    n_test, n_train = max(1, -(-test.count() // test_block)), max(1, -(-train.count() // block))
     label = train.schema["label"].dataType.simpleString()
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = test.select("id", "v", F.lit(None).cast(label).alias("label"), F.pmod(F.xxhash64("id"), F.lit(n_test)).alias("q"), span(n_train).alias("c"), F.lit(True).alias("asks"))
     right = train.select("id", "v", "label", span(n_test).alias("q"), F.pmod(F.xxhash64("id"), F.lit(n_train)).alias("c"), F.lit(False).alias("asks"))
 
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        asks, found = frame["asks"].to_numpy(), []
-        lengths = frame["v"].map(len).to_numpy()
+    def best(group: pa.Table) -> pa.Table:
+        asks, ids, labels, vectors = group["asks"].to_numpy(), group["id"], group["label"], group["v"].combine_chunks()
+        lengths, order = vectors.value_lengths().to_numpy(), ids.to_numpy()
+        taken = lambda at, width: vectors.take(pa.array(at)).flatten().to_numpy().reshape(len(at), width).astype(float)
+        rows, near, dist = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)]
         for length in np.unique(lengths[asks]):
-            q, c = frame[asks & (lengths == length)], frame[~asks & (lengths == length)].sort_values("id", kind="stable")
+            q, c = (np.flatnonzero((asks == side) & (lengths == length)) for side in (True, False))
             if not len(c):
                 continue
-            cv = np.stack(c["v"].to_numpy())
-            kept = _first_copies(cv, k)
-            i, j, d = _nearest(kind, np.stack(q["v"].to_numpy()), cv[kept], k)
-            ids, labels = c["id"].to_numpy(), c["label"].to_numpy()
-            found.append(pd.DataFrame({"id": q["id"].to_numpy()[i], "train_id": ids[kept[j]], "label": labels[kept[j]], "dist": d}))
-        return pd.concat(found) if found else pd.DataFrame({"id": [], "train_id": [], "label": [], "dist": []})
-
-    parts = left.unionByName(right).groupBy("q", "c").applyInPandas(best, f"id long, train_id long, label {label}, dist double")
+            c = c[np.argsort(order[c], kind="stable")]
+            held = taken(c, length)
+            kept = _first_copies(held, k)
+            i, j, d = _nearest(kind, taken(q, length), held[kept], k)
+            rows, near, dist = [*rows, q[i]], [*near, c[kept[j]]], [*dist, d]
+        at, to = (pa.array(np.concatenate(x)) for x in (rows, near))
+        return pa.table({"id": ids.take(at), "train_id": ids.take(to), "label": labels.take(to), "dist": np.concatenate(dist)})
+
+    group = (F.col("q") * n_train + F.col("c")).cast("int").alias("group")
+    dealt = left.unionByName(right).select(F.col("id").cast("long").alias("id"), "v", "label", "asks", group).repartitionById(n_test * n_train, "group")
+    parts = dealt.groupBy("group").applyInArrow(best, f"id long, train_id long, label {label}, dist double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "train_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k)
 

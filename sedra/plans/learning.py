@@ -9,7 +9,7 @@ from .registry import query
 
 
 def _parts(table):
-    rows = table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    rows = table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
     return rows.where("id % 3 = 0"), rows.where("id % 3 <> 0")
 
 

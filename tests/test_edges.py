@@ -127,6 +127,31 @@ def test_accuracy_of_the_nearest(spark):
     assert abs(got - np.mean([top(x) == label[i] for i, x in near.items()])) < 1e-12
 
 
+def test_nearest_by_single_precision(monkeypatch):
+    """Pairs are judged in single precision, and in double only where single can't tell vectors apart or overflows."""
+    kinds, within = set(), ml._within
+    monkeypatch.setattr(ml, "_within", lambda scores, bound: kinds.add(scores.dtype.name) or within(scores, bound))
+    rng = np.random.default_rng(7)
+    for scale, offset, used in ((1.0, 0.0, {"float32"}), (1e-3, 1e3, {"float32", "float64"}), (1e-9, 1.0, {"float32", "float64"}), (1e18, 0.0, {"float64"})):
+        q, c = (rng.standard_normal((n, 6)) * scale + offset for n in (700, 5000))
+        kinds.clear()
+        i, j, d = ml._nearest("euclid", q, c, 4)
+        want = ml._block_distances("euclid", q, c).round(9)
+        top = np.argsort(want, axis=1, kind="stable")[:, :4]
+        assert kinds == used
+        assert np.array_equal(i, np.repeat(np.arange(700), 4)) and np.array_equal(j, top.ravel())
+        assert np.array_equal(d, np.take_along_axis(want, top, axis=1).ravel())
+
+
+def test_blocks_of_neighbours_keep_cores_busy():
+    assert ml._blocks(0, 0, 32768, 32768, 12) == (1, 1)
+    assert ml._blocks(3_419, 6_837, 32768, 32768, 12) == (1, 1)
+    for n in (17_000, 34_000, 205_000, 2_000_000):
+        a, b = ml._blocks(n, 2 * n, 32768, 32768, 12)
+        assert n / a <= 32768 and 2 * n / b <= 32768 and a * b >= min(24, (2 * n * n) >> 25)
+    assert ml._blocks(205_000, 410_000, 32768, 32768, 12) == (7, 13)
+
+
 def test_update_to_null(spark):
     t = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "n", 3)], "k int, v string, w int")
     changes = spark.createDataFrame([(1, None, 9, ["v"]), (2, None, 5, ["w", "v"]), (None, "z", 0, ["v"])], "k int, v string, w int, fields array<string>")
