@@ -152,6 +152,18 @@ def test_blocks_of_neighbours_keep_cores_busy():
     assert ml._blocks(205_000, 410_000, 32768, 32768, 12) == (7, 13)
 
 
+def test_accuracy_of_labels_beyond_a_double(spark):
+    """Labels keep their value, for the step's groups hold rows without one."""
+    big = 2**60
+    rows = spark.createDataFrame([(i, [float(i // 3), 0.0], big + i // 3) for i in range(30)], "id long, v array<float>, label long")
+    test, train = rows.where("id % 3 = 0"), rows.where("id % 3 <> 0")
+    got = ml.knn_predict(test, train, 2)
+    assert {r.id: r.predicted for r in got.collect()} == {i: big + i // 3 for i in range(0, 30, 3)}
+    assert ml.accuracy(got.join(test, "id"), "label").first().accuracy == 1.0
+    mixed = ml.neighbours(test, train.withColumn("v", F.col("v").cast("array<double>")), 2, block=5, test_block=4)
+    assert sorted((r.id, r.train_id, r.label) for r in mixed.collect()) == [(i, i + x, big + i // 3) for i in range(0, 30, 3) for x in (1, 2)]
+
+
 def test_update_to_null(spark):
     t = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "n", 3)], "k int, v string, w int")
     changes = spark.createDataFrame([(1, None, 9, ["v"]), (2, None, 5, ["w", "v"]), (None, "z", 0, ["v"])], "k int, v string, w int, fields array<string>")
