@@ -61,10 +61,11 @@ def _near(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
     """What `_nearest` returns for Euclidean distances whose squares don't overflow.
 
     Squared distances of a slice of c are one matrix product, c having two more columns, of
-    ones and of its squared lengths, in single precision first; where that leaves
-    too many pairs near, in double. `slack` is more than the rounding of the product and of the
-    plain formula, so that a pair beyond the bound can't be among the nearest, nor tie with
-    them in nine digits. The pairs within it are judged by the plain formula.
+    ones and of its squared lengths, in single precision first; a row of q of which that leaves
+    too many pairs near, as among near copies, goes on in double. `slack` is more than the
+    rounding of the product and of the plain formula, so that a pair beyond the bound can't be
+    among the nearest, nor tie with them in nine digits. The pairs within it are judged by the
+    plain formula, which costs as much as a hundred by a product.
     """
     found, slice_ = [], max(2048, k)
     step = max(1, (1 << 20) // slice_)
@@ -74,26 +75,38 @@ def _near(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
         few = q[at : at + step]
         squares = (few * few).sum(axis=1)
         asked, sums = np.column_stack([-2 * few, squares, np.ones(len(few))]), squares + double[:, -1].max()
-        kind = np.float32 if sums.max() < 1e30 else np.float64
-        i = j = np.empty(0, dtype=np.int64)
+        by, none = np.arange(len(few)), np.empty(0, dtype=np.int64)
+        rows = {np.float32: by, np.float64: none} if sums.max() < 1e30 else {np.float32: none, np.float64: by}
+        asks = {kind: asked[by].astype(kind) for kind, by in rows.items()}
+        i = j = none
         d = most = np.empty(0)
         for x in range(0, len(c), slice_):
-            while True:
+            near = [none], [none]
+            for kind in (np.float32, np.float64):
+                by = rows[kind]
+                if not len(by):
+                    continue
                 if kind not in wide:
                     wide[kind] = double.astype(kind)
-                slack = 8 * (q.shape[1] + 8) * np.finfo(kind).eps * sums
-                scores = asked.astype(kind) @ wide[kind][x : x + slice_].T
+                slack = 8 * (q.shape[1] + 8) * np.finfo(kind).eps * sums[by]
+                scores = asks[kind] @ wide[kind][x : x + slice_].T
                 if x:
-                    edge = most
+                    edge = most[by]
                 elif scores.shape[1] < k:
-                    edge = np.full(len(few), np.inf)
+                    edge = np.full(len(by), np.inf)
                 else:
                     edge = np.sqrt(np.maximum(np.partition(scores, k - 1, axis=1)[:, k - 1], 0) + slack)
                 bound = np.nextafter(((edge + 2e-9) ** 2 * (1 + 1e-12) + slack).astype(kind), kind(np.inf))
                 n, m = _within(scores, bound)
-                if kind is np.float64 or len(n) <= 2 * k * len(few) + scores.size // 16:
-                    break
-                kind = np.float64
+                if kind is np.float32:
+                    many = np.bincount(n, minlength=len(by)) > 2 * k + scores.shape[1] // 128
+                    if many.any():
+                        rows = {np.float32: by[~many], np.float64: np.append(rows[np.float64], by[many])}
+                        asks = {kind: asked[by].astype(kind) for kind, by in rows.items()}
+                        n, m = n[~many[n]], m[~many[n]]
+                near[0].append(by[n])
+                near[1].append(m)
+            n, m = (np.concatenate(y) for y in near)
             i, j, d = np.append(i, n), np.append(j, m + x), np.append(d, _plain(few, c[x : x + slice_], n, m))
             order = np.lexsort((j, d, i))
             order = order[_ranks(i[order]) < k]

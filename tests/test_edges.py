@@ -143,6 +143,29 @@ def test_nearest_by_single_precision(monkeypatch):
         assert np.array_equal(d, np.take_along_axis(want, top, axis=1).ravel())
 
 
+def test_nearest_among_near_copies(monkeypatch):
+    """Groups of near copies: only the rows in them go on in double, and few of their pairs are left to the plain formula."""
+    judged, seen, plain, within = [], [], ml._plain, ml._within
+    monkeypatch.setattr(ml, "_plain", lambda q, c, i, j: judged.append(len(i)) or plain(q, c, i, j))
+    monkeypatch.setattr(ml, "_within", lambda scores, bound: seen.append((scores.dtype.name, len(scores))) or within(scores, bound))
+    rng = np.random.default_rng(8)
+    for groups, share in ((1, 0.2), (16, 1.0), (16, 0.5)):
+        middle = rng.standard_normal((groups, 64))
+        q, c = (rng.standard_normal((n, 64)) for n in (600, 6000))
+        for v in (q, c):
+            some = rng.random(len(v)) < share
+            v[some] = middle[rng.integers(0, groups, some.sum())] + 1e-3 * v[some]
+        judged.clear()
+        seen.clear()
+        i, j, d = ml._nearest("euclid", q, c, 3)
+        want = np.concatenate([ml._block_distances("euclid", q[x : x + 50], c) for x in range(0, 600, 50)]).round(9)
+        top = np.argsort(want, axis=1, kind="stable")[:, :3]
+        assert np.array_equal(i, np.repeat(np.arange(600), 3)) and np.array_equal(j, top.ravel())
+        assert np.array_equal(d, np.take_along_axis(want, top, axis=1).ravel())
+        assert sum(judged) < 20 * len(q)
+        assert max(n for kind, n in seen if kind == "float64") <= 512 * min(1.0, share * 1.2)
+
+
 def test_blocks_of_neighbours_keep_cores_busy():
     assert ml._blocks(0, 0, 32768, 32768, 12) == (1, 1)
     assert ml._blocks(3_419, 6_837, 32768, 32768, 12) == (1, 1)
